@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import cut_lineage, lower_words
@@ -165,5 +165,5 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 4, radius: int =
     edges = link_edges(distinct.select("fp"), radius, tile_rows)
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.select("fp", F.min("first_doc").over(Window.partitionBy("root")).alias("component_id"))
-    return prints.join(least, "fp").select("doc_id", "fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return prints.join(rooted.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id")
