@@ -34,3 +34,11 @@ def id_remainder(column: Column, modulus: int) -> Column:
 def lower_words(text: str | None) -> list[bytes]:
     """UTF-8 words between ASCII white space, with only A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def without_rows(rows: DataFrame, drop: DataFrame, key: Column, most: int = 1_000_000) -> DataFrame:
+    """`rows` whose `key` is none of drop's single column, nulls matching nulls; broadcast only if counted to be `most` keys at most."""
+    drop = cut_lineage(drop.distinct())
+    name = drop.columns[0]
+    small = drop.count() <= most
+    return rows.join(F.broadcast(drop) if small else drop, key.eqNullSafe(drop[name]), "left_anti")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.llm.common import without_rows
+
 #: Bytes of a lower-cased text that separate words: ASCII other than 0-9 and a-z (A-Z become a-z).
 _SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -178,6 +180,6 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, b
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents, all columns kept, in which no window of the benchmark occurs. Needs unique doc_ids (a null one is kept apart by `<=>`)."""
-    found = find_matches(documents, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+    """The documents, all columns kept, in which no window of the benchmark occurs. Rows that share a doc_id go together."""
+    hit = find_matches(documents, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit"))
+    return without_rows(documents, hit, documents["doc_id"].cast("long"))

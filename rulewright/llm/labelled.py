@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 _SCALE = 1_000_000
 
 
+def labelled_texts(documents: DataFrame, labels: DataFrame, label: str, max_rows: int) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label 0/1) of a bounded sample of the labelled documents, and row weights by label.
+
+    The sample is drawn from the labels, so it is small enough to broadcast, and documents' texts aren't shuffled.
+    """
+    rows = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label))
+    sample, weight = bounded_sample(rows, label, max_rows)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(sample), "doc_id"), weight
+
+
 def bounded_sample(rows: DataFrame, label: str, max_rows: int, classes: int = 2) -> tuple[DataFrame, dict]:
     """About max_rows / classes rows of each label value at most, chosen by a hash of doc_id, and the weight of a row by label.
 

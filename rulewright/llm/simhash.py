@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import cut_lineage, lower_words
+from rulewright.llm.common import cut_lineage, lower_words, without_rows
 from rulewright.llm.components import connected_components
 
 SEED = 42
@@ -167,3 +167,18 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 4, radius: int =
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(documents: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
+    """The documents, all columns kept, with one of each group of near duplicates: the one with the least doc_id.
+
+    Of rows that repeat a kept doc_id one stays; rows without doc_id stay if nothing else in their group has one.
+    """
+    groups = cut_lineage(near_duplicates(documents, shingle_words, radius))
+    later = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_later"))
+    kept = without_rows(documents, later, documents["doc_id"].cast("long"))
+    repeated = cut_lineage(groups.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_later")))
+    if repeated.isEmpty():
+        return kept
+    once = without_rows(kept, repeated, kept["doc_id"].cast("long"))
+    return once.unionByName(kept.join(repeated, kept["doc_id"].cast("long").eqNullSafe(repeated["_later"]), "left_semi").dropDuplicates(["doc_id"]))

@@ -22,17 +22,18 @@ SENTENCE_END = re.compile(r"(\w+)([.,]?)(?:(\n)(\w+))?")
 #: Remembered segments per worker; the memory is emptied when full. Longer ones are not remembered.
 MEMORY, LONGEST = 700_000, 40
 
-_loaded: dict[str, "SegmentTokenizer"] = {}
+_loaded: dict[tuple[str, bool], "SegmentTokenizer"] = {}
 
 
 class SegmentTokenizer:
     """ids of texts by the `tokenizers` library, without special tokens being added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -85,13 +86,22 @@ class SegmentTokenizer:
             rest = self._parts(parts[:-1]) + self.plain(f" {parts[-1]}") if parts else b""
         return self.plain(first) + rest
 
+    def ids_from_cut(self, piece: str) -> bytes:
+        """ids of a piece of text that starts and ends at a safe cut, or at an end of its text."""
+        if piece[:1] == " ":
+            found = self._parts(piece[1:].split(" "))
+            if found is not None:
+                return found
+        return self.ids(piece)
+
 
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
-def load(path: str) -> SegmentTokenizer:
+def load(path: str, special_as_text: bool = False) -> SegmentTokenizer:
     """The tokenizer of a vocabulary file, loaded once per worker process."""
-    if path not in _loaded:
-        _loaded[path] = SegmentTokenizer(path)
-    return _loaded[path]
+    key = (path, special_as_text)
+    if key not in _loaded:
+        _loaded[key] = SegmentTokenizer(path, special_as_text)
+    return _loaded[key]

@@ -14,13 +14,14 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import cut_lineage
 from rulewright.llm.decontaminate import alnum_words
-from rulewright.llm.labelled import bounded_sample, logistic_fit, sigmoid
+from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
 
 
 @dataclass
@@ -64,15 +65,15 @@ def _pair_counts(batches):
         )
 
 
-def train(labelled: DataFrame, max_rows: int = 16_000, min_count: int = 3, min_pair: int = 8, discount: float = 0.75) -> Model:
-    """Fit on `labelled` (doc_id, text, toxic 0/1), of which at most about `max_rows` rows are used, half of each class.
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_count: int = 3, min_pair: int = 8, discount: float = 0.75) -> Model:
+    """Fit on documents (doc_id, text) with labels (doc_id, toxic 0/1), of which about `max_rows` rows at most are used, half of each class.
 
     Words seen fewer than `min_count` times (pairs: `min_pair`) get no ratio of their own, which keeps
     the model to the sample's words / min_count. Other labels than 0 and 1 are ignored. With only one
     class, every text gets that class's share.
     """
-    rows = labelled.where("toxic in (0, 1)").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    sample, weight = bounded_sample(rows, "toxic", max_rows)
+    sample, weight = labelled_texts(documents, labels, "toxic", max_rows)
+    sample = cut_lineage(sample)
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4))
     pairs = cut_lineage(sample.where(part > 0).select("text", "toxic").mapInArrow(_pair_counts, "v binary, w binary, ordinary long, toxic long").groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
     words = pairs.groupBy("w").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), F.count("*").alias("contexts"))
@@ -96,7 +97,7 @@ def train(labelled: DataFrame, max_rows: int = 16_000, min_count: int = 3, min_p
         a = (max(r["ordinary"] - discount, 0) + discount * r["to"] * q_o) / r["vo"]
         b = (max(r["toxic"] - discount, 0) + discount * r["tt"] * q_t) / r["vt"]
         model.pair[r["v"], r["w"]] = float(np.log(b / a))
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in batches:
@@ -112,10 +113,20 @@ def train(labelled: DataFrame, max_rows: int = 16_000, min_count: int = 3, min_p
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id and score, 0 to 1, higher for likelier toxic. Null and empty texts get the score of no words."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), score_column(documents, model).alias("score"))
+
+
+def score_column(documents: DataFrame, model: Model) -> Column:
+    """The score of each text as a Column of `documents`."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.score(batch.column("text").to_pylist()))], names=["doc_id", "score"])
+    @F.pandas_udf("double")
+    def toxicity(text: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.score(text.tolist()))
+
+    return toxicity(documents["text"].cast("string"))
+
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+def keep_ordinary(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The documents, all columns kept, whose score is below `threshold`."""
+    return documents.where(score_column(documents, model) < threshold)
