@@ -2,8 +2,8 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. There are at most 3 ** rules
 different vote patterns, so documents are counted by pattern first, and expectation-maximisation
-over that small table estimates each rule's accuracy on good and on bad documents and how common
-good ones are. A document's verdict is its posterior probability of being good.
+over that small table estimates each rule's accuracy on good and on bad documents, given the share of
+good ones. A document's verdict is its posterior probability of being good.
 """
 
 from __future__ import annotations
@@ -25,10 +25,6 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
 def _repeat_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more, the first occurrence included."""
 
@@ -38,12 +34,15 @@ def _repeat_words(words: Column) -> Column:
         gaps = lambda at: F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - p, F.lit(3))))
         return _bind(F.sort_array(places), lambda at: F.aggregate(gaps(at), F.lit(0), lambda a, x: a + x))
 
-    def of_windows(w: Column) -> Column:
-        numbered = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("p"))))
-        return F.when(F.size(w) == F.size(F.array_distinct(w)), F.lit(0)).otherwise(_bind(numbered, of_sorted))
+    def of_words(v: Column) -> Column:
+        each = lambda body: F.transform(F.slice(v, 1, F.greatest(F.size(v) - 2, F.lit(0))), body)
+        hashes = each(lambda x, i: F.xxhash64(x, F.get(v, i + 1), F.get(v, i + 2)))
+        whole = each(lambda x, i: F.struct(F.concat(x, F.lit(" "), F.get(v, i + 1), F.lit(" "), F.get(v, i + 2)).alias("w"), i.alias("p")))
+        # windows whose hashes all differ all differ; the others are compared themselves
+        differ = _bind(hashes, lambda h: F.size(h) == F.size(F.array_distinct(h)))
+        return F.when(differ, F.lit(0)).otherwise(_bind(F.sort_array(whole), of_sorted))
 
-    windows = lambda v: F.transform(F.slice(v, 1, F.greatest(F.size(v) - 2, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(v, i + 1), F.lit(" "), F.get(v, i + 2)))
-    return _bind(words, lambda v: _bind(windows(v), of_windows))
+    return _bind(words, of_words)
 
 
 def statistics(documents: DataFrame) -> DataFrame:
@@ -51,90 +50,95 @@ def statistics(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
     words = F.array_remove(F.split("t", "[ \\x09-\\x0D]+"), "")
-    lines = F.filter(F.split("t", "\n"), lambda x: _without(x, SPACE) != "")
+    lines = F.filter(F.split("t", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
 
     def counts(w: Column) -> Column:
-        return F.struct(F.size(w).alias("n_words"), _repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct"))
+        chars = F.length(F.array_join(w, ""))
+        return F.struct(F.size(w).alias("n_words"), chars.alias("word_chars"), _repeat_words(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).alias("n_distinct"))
 
-    upper = F.length("t") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))
     parts = rows.select(
         "doc_id",
         F.xxhash64("doc_id", "t").alias("row_key"),
         _bind(words, counts).alias("w"),
         _bind(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))).alias("l"),
-        F.length(_without(F.col("t"), SPACE)).alias("word_chars"),
-        (F.length("t") - F.length(_without(F.col("t"), SYMBOLS))).alias("n_symbols"),
-        (F.length("t") - F.length(_without(F.col("t"), "!?"))).alias("n_exclaim"),
-        upper.alias("n_upper"),
+        F.regexp_replace("t", f"[^{SYMBOLS}!?]+", "").alias("marks"),
+        F.regexp_count("t", F.lit("\\p{Lu}")).alias("n_upper"),
     )
-    names = ("w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_distinct", "l.n_lines", "n_exclaim", "n_upper")
+    marks = F.regexp_replace("marks", "[!?]+", "")
+    parts = parts.withColumns({"n_symbols": F.length(marks), "n_exclaim": F.length("marks") - F.length(marks)})
+    names = ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_distinct", "l.n_lines", "n_exclaim", "n_upper")
     return parts.select("doc_id", "row_key", *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in names))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _vote(bad: Column | None = None, good: Column | None = None) -> Column:
+    vote = F.lit(0)
+    if good is not None:
+        vote = F.when(good, 1).otherwise(vote)
+    return vote if bad is None else F.when(bad, -1).otherwise(vote)
 
 
 def rules() -> dict[str, Column]:
-    """The votes over statistics(); shares are of words unless named otherwise."""
+    """The votes over statistics(). A rule that looks for one defect abstains where it finds none: that doesn't make a text good."""
     n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "length": _vote(n < MIN_WORDS, n >= 2 * MIN_WORDS),
-        "symbols": _vote(10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
-        "repetition": _vote(100 * F.col("n_repeat_words") > 25 * n, 100 * F.col("n_repeat_words") <= 8 * n),
-        "lines": _vote(100 * F.col("n_dup_lines") > 30 * F.col("n_lines"), F.col("n_dup_lines") == 0),
-        "capitals": _vote(100 * F.col("n_upper") > 30 * chars, 100 * F.col("n_upper") <= 15 * chars),
-        "exclaim": _vote(10 * F.col("n_exclaim") > n, 50 * F.col("n_exclaim") <= n),
-        "variety": _vote(100 * F.col("n_distinct") < 15 * F.least(n, F.lit(400)), 100 * F.col("n_distinct") > 25 * F.least(n, F.lit(400))),
+        "length": _vote(n < 5, n >= 2 * MIN_WORDS),
+        "symbols": _vote(10 * F.col("n_symbols") > n),
+        "repetition": _vote(100 * F.col("n_repeat_words") > 30 * n),
+        "lines": _vote((F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
+        "capitals": _vote(100 * F.col("n_upper") > 30 * chars),
+        "exclaim": _vote(10 * F.col("n_exclaim") > n),
+        "variety": _vote(100 * F.col("n_distinct") < 15 * F.least(n, F.lit(400)), 100 * F.col("n_distinct") > 40 * F.least(n, F.lit(400))),
         "word_length": _vote((chars > 14 * n) | (2 * chars < 5 * n), (chars <= 11 * n) & (chars >= 3 * n)),
     }
 
 
-def _log_ratio(votes: list[str], prior: float, rates: list[dict]) -> Column:
-    """log P(good, votes) - log P(bad, votes)."""
-    terms = [F.when(F.col(v) == 1, F.lit(math.log(r["gg"] / r["gb"]))).when(F.col(v) == -1, F.lit(math.log(r["bg"] / r["bb"]))).otherwise(F.lit(0.0)) for v, r in zip(votes, rates)]
-    return sum(terms, F.lit(math.log(prior / (1 - prior))))
+#: Prior shares of documents that a rule votes bad and good on, among bad and among good documents: defects differ, so a bad
+#: document gets a bad vote from few rules, while good documents hardly get any.
+PRIOR = {"bad": {-1: 0.25, 1: 0.5}, "good": {-1: 0.003, 1: 0.7}}
+#: What the priors weigh, as shares of all documents.
+STRENGTH = {"bad": 0.01, "good": 0.2}
+#: A rule's bad votes on good documents are at most this share: else kinds of defects that never meet could pass for a trait of good documents.
+MOST_FALSE = 0.01
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, tolerance: float = 1e-6) -> tuple[float, list[dict]]:
-    """Share of good documents and each rule's rates (bg: bad votes on good documents, and so on), from vote patterns and their counts.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, share: float, rounds: int = 100, tolerance: float = 1e-7) -> list[dict]:
+    """How often each rule votes good and bad in each class, from vote patterns and their counts by expectation-maximisation.
 
-    There are at most 3 ** n_rules patterns whatever the number of documents. Rates start from rules that are right more often
-    than not, and pseudo-counts keep them inside (0, 1). With no patterns the start is returned.
+    Abstaining says nothing. The share of good documents is given, as votes of rules that mostly abstain don't settle it. There
+    are at most 3 ** n_rules patterns whatever the number of documents. With no patterns the priors are returned.
     """
-    prior, rates = 0.8, [{"gg": 0.97, "bg": 0.03, "gb": 0.6, "bb": 0.4}] * n_rules
-    total = sum(n for _, n in patterns)
-    strength = 2 + 0.002 * total  # of the prior belief that good documents rarely get a bad vote
+    rates = [{k: dict(v) for k, v in PRIOR.items()}] * n_rules
+    total, old = sum(n for _, n in patterns), -1.0
     for _ in range(rounds if total else 0):
-        sums, good = [dict.fromkeys(("gg", "bg", "gb", "bb"), 0.0) for _ in range(n_rules)], 0.0
+        good, sums = 0.0, [{k: {-1: 0.0, 1: 0.0} for k in PRIOR} for _ in range(n_rules)]
         for votes, n in patterns:
-            odds = math.log(prior / (1 - prior))
-            for v, r in zip(votes, rates):
-                odds += math.log(r["gg"] / r["gb"]) if v > 0 else math.log(r["bg"] / r["bb"]) if v < 0 else 0.0
+            odds = math.log(share / (1 - share)) + sum(math.log(r["good"][v] / r["bad"][v]) for v, r in zip(votes, rates) if v)
             p = 1 / (1 + math.exp(-max(min(odds, 500), -500)))
             good += n * p
             for v, s in zip(votes, sums):
                 if v:
-                    k = "g" if v > 0 else "b"
-                    s[k + "g"] += n * p
-                    s[k + "b"] += n * (1 - p)
-        old, prior = (prior, rates), min(max((good + 8) / (total + 10), 1e-4), 1 - 1e-4)
-        rates = []
-        for s in sums:
-            g, b = (s["bg"] + 0.01 * strength) / (s["gg"] + s["bg"] + strength), (s["bb"] + 0.4 * strength) / (s["gb"] + s["bb"] + strength)
-            b = max(b, 1.01 * g)
-            rates.append({"bg": g, "gg": 1 - g, "bb": b, "gb": 1 - b})
-        if abs(prior - old[0]) + sum(abs(x[k] - y[k]) for x, y in zip(rates, old[1]) for k in ("bg", "bb")) < tolerance:
+                    s["good"][v] += n * p
+                    s["bad"][v] += n * (1 - p)
+        weight = {"good": good, "bad": total - good}
+        rates = [{k: {v: (x + (2 + STRENGTH[k] * total) * PRIOR[k][v]) / (weight[k] + 2 + STRENGTH[k] * total) for v, x in of.items()} for k, of in s.items()} for s in sums]
+        for r in rates:
+            r["good"][-1] = min(r["good"][-1], MOST_FALSE)
+        if abs(good - old) < tolerance * total:
             break
-    return prior, rates
+        old = good
+    return rates
 
 
-def posterior(votes: list[str], prior: float, rates: list[dict]) -> Column:
+def posterior(votes: list[str], share: float, rates: list[dict]) -> Column:
     """Probability of good, as a Column over the vote columns."""
-    return 1 / (1 + F.exp(-_log_ratio(votes, prior, rates)))
+    odds = F.lit(math.log(share / (1 - share)))
+    for v, r in zip(votes, rates):
+        weight = {k: math.log(r["good"][k] / r["bad"][k]) for k in (-1, 1)}
+        odds += F.when(F.col(v) == 1, weight[1]).when(F.col(v) == -1, weight[-1]).otherwise(0.0)
+    return 1 / (1 + F.exp(-odds))
 
 
-def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+def judge(documents: DataFrame, threshold: float = 0.5, share_good: float = 0.85) -> DataFrame:
     """statistics() with base_failed, posterior (of being good) and kept for every row.
 
     base_failed: fewer than 50 words, or over half of the words repeated. kept: not base_failed and a
@@ -147,7 +151,7 @@ def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     voted = stats.withColumns({f"vote_{k}": v for k, v in named.items()})
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = voted.withColumn("base_failed", failed).withColumn("posterior", posterior(votes, *estimate(patterns, len(votes))))
+    judged = voted.withColumn("base_failed", failed).withColumn("posterior", posterior(votes, share_good, estimate(patterns, len(votes), share_good)))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*votes)
 
 
