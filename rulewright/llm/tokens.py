@@ -20,7 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 SENTENCE_END = re.compile(r"(\w+)([.,]?)(?:(\n)(\w+))?")
 #: Remembered segments per worker; the memory is emptied when full. Longer ones are not remembered.
-MEMORY, LONGEST = 700_000, 40
+MEMORY, LONGEST = 1_300_000, 40
 
 _loaded: dict[tuple[str, bool], "SegmentTokenizer"] = {}
 
