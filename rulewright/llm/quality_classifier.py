@@ -41,10 +41,10 @@ def features(text: str | None, size: int = SIZE) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Rates:
-    alpha: float = 0.6
+    alpha: float = 3.0
     beta: float = 1.0
-    l1: float = 0.02
-    l2: float = 0.1
+    l1: float = 0.01
+    l2: float = 0.003
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], start: np.ndarray, rates: Rates) -> np.ndarray:
@@ -63,35 +63,36 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int, float]], start: np.ndarra
     return np.where(np.abs(z) <= rates.l1, 0.0, -(z - np.sign(z) * rates.l1) / ((rates.beta + np.sqrt(n)) / rates.alpha + rates.l2))
 
 
-def _trainer(sent, rates: Rates, size: int, weight: dict):
+def _trainer(sent, rates: Rates, size: int):
     """A function that trains one shard from the broadcast weights, in an order that a hash of doc_id sets."""
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.assign(at=[zlib.crc32(f"{x}".encode()) for x in shard["doc_id"]]).sort_values("at", kind="stable")
-        w = ftrl([(*features(t, size), y, weight[y]) for t, y in zip(shard["text"], shard["quality"])], sent.value, rates)
+        w = ftrl([(*features(t, size), y, 1.0) for t, y in zip(shard["text"], shard["quality"])], sent.value, rates)
         slots = np.nonzero(w)[0]
         return pd.DataFrame({"slot": slots, "w": w[slots]})
 
     return one
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: int = 8, rounds: int = 4, size: int = SIZE, rates: Rates = Rates()) -> np.ndarray:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: int = 8, rounds: int = 6, size: int = SIZE, rates: Rates = Rates()) -> np.ndarray:
     """Weights (size + 1, intercept last) from documents (doc_id, text) with labels (doc_id, quality 0/1), of which about `max_rows` rows at most are used, half of each class.
 
-    Rows are weighted so that class shares are those of all labelled rows. Other labels are ignored;
+    The intercept is set for the class shares of all labelled rows. Other labels are ignored;
     with no rows all weights are 0.
     """
     sample, weight = labelled_texts(documents, labels, "quality", max_rows)
-    top = max(weight.values(), default=1.0)
     dealt = cut_lineage(sample.select(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text", "quality"))
     weights = np.zeros(size + 1)
     for _ in range(rounds):
         sent = documents.sparkSession.sparkContext.broadcast(weights)
 
         # at most size + 1 rows come back
-        found = dealt.groupBy("shard").applyInPandas(_trainer(sent, rates, size, {y: w / top for y, w in weight.items()}), "slot long, w double").groupBy("slot").agg((F.sum("w") / shards).alias("w")).toArrow()
+        found = dealt.groupBy("shard").applyInPandas(_trainer(sent, rates, size), "slot long, w double").groupBy("slot").agg((F.sum("w") / shards).alias("w")).toArrow()
         weights = np.zeros(size + 1)
         weights[found.column("slot").to_numpy()] = found.column("w").to_numpy()
+    if len(weight) == 2:  # the sample's class shares are not those of all labelled rows
+        weights[-1] += np.log(weight[1] / weight[0])
     return weights
 
 

@@ -2,8 +2,8 @@
 
 Word and word-pair counts are kept by class. A class's pair model discounts its own counts and backs
 off to its word model, which discounts its own counts and backs off to continuation counts (in how
-many different contexts a word occurs) shared by both classes; so an expression that is rare in a
-class is smoothed by what both have. A text's score compares its log-likelihoods under the two
+many different contexts a word occurs) shared by both classes. An expression whose counts don't tell
+the classes apart is left to those shared counts alone, which favour neither class. A text's score compares its log-likelihoods under the two
 models, normalised by length, through a logistic curve fitted on labelled rows that the counts
 leave out.
 """
@@ -65,6 +65,13 @@ def _pair_counts(batches):
         )
 
 
+def _differ(ordinary, toxic, all_ordinary: float, all_toxic: float):
+    """Whether counts differ between the classes beyond chance (three standard deviations); other expressions are left to the shared counts, which favour neither."""
+    expected = (ordinary + toxic) * all_toxic / (all_ordinary + all_toxic)
+    spread = np.sqrt(np.maximum(expected * all_ordinary / (all_ordinary + all_toxic), 1e-9))
+    return (np.abs(toxic - expected) >= 3 * spread) & (np.abs(toxic - expected) >= 1.5)
+
+
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_count: int = 3, min_pair: int = 8, discount: float = 0.75) -> Model:
     """Fit on documents (doc_id, text) with labels (doc_id, toxic 0/1), of which about `max_rows` rows at most are used, half of each class.
 
@@ -86,13 +93,13 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_c
     shared = c / contexts
     p_o = (np.maximum(o - discount, 0) + discount * types_o * shared) / n_o
     p_t = (np.maximum(t - discount, 0) + discount * types_t * shared) / n_t
-    # what both classes leave to shared counts differs by a constant, which unseen words don't have
-    level = np.log((types_t / n_t) / (types_o / n_o))
-    model.word = dict(zip(w, (np.log(p_t / p_o) - np.where((o == 0) & (t == 0), level, 0)).tolist()))
+    model.word = {k: x for k, x, differs in zip(w, np.log(p_t / p_o).tolist(), _differ(o, t, n_o, n_t)) if differs}
     of = {k: (a, b) for k, a, b in zip(w, p_o.tolist(), p_t.tolist())}
     context = pairs.groupBy("v").agg(F.sum("ordinary").alias("vo"), F.sum("toxic").alias("vt"), F.count_if(F.col("ordinary") > 0).alias("to"), F.count_if(F.col("toxic") > 0).alias("tt"))
     often = pairs.where(F.col("ordinary") + F.col("toxic") >= min_pair).join(context, "v").where("vo > 0 and vt > 0").toArrow()
     for r in often.to_pylist():
+        if not _differ(r["ordinary"], r["toxic"], r["vo"], r["vt"]):
+            continue
         q_o, q_t = of[r["w"]]
         a = (max(r["ordinary"] - discount, 0) + discount * r["to"] * q_o) / r["vo"]
         b = (max(r["toxic"] - discount, 0) + discount * r["tt"] * q_t) / r["vt"]
