@@ -1,9 +1,10 @@
 """Operator 7: toxicity by two class-conditional Kneser-Ney word models.
 
 Word and word-pair counts are kept by class. A class's pair model discounts its own counts and backs
-off to its word model, which discounts its own counts and backs off to continuation counts (in how
-many different contexts a word occurs) shared by both classes. An expression whose counts don't tell
-the classes apart is left to those shared counts alone, which favour neither class. A text's score compares its log-likelihoods under the two
+off to its word model, which discounts the class's continuation counts (in how many different
+contexts a word occurs) and backs off to those of both classes together. An expression whose counts don't tell
+the classes apart is left to those shared counts alone, which favour neither class; a rare word is
+smoothed by the words that begin like it. A text's score compares its log-likelihoods under the two
 models, normalised by length, through a logistic curve fitted on labelled rows that the counts
 leave out.
 """
@@ -24,9 +25,14 @@ from rulewright.llm.decontaminate import alnum_words
 from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
 
 
+#: Bytes of a word's beginning that words without counts of their own back off to.
+STEM = 5
+
+
 @dataclass
 class Model:
     word: dict[bytes, float]  # log ratio, toxic to ordinary, of words
+    stem: dict[bytes, float]  # of words' beginnings, for words without a ratio
     pair: dict[tuple[bytes, bytes], float]  # of word pairs, backed off already
     curve: np.ndarray  # coefficients of the two normalised differences, and intercept
 
@@ -36,7 +42,8 @@ class Model:
         if not words:
             return 0.0, 0.0
         total, word, pair = 0.0, self.word, self.pair
-        single = [word.get(w, 0.0) for w in words]
+        stem = self.stem.get
+        single = [x if (x := word.get(w)) is not None else stem(w[:STEM], 0.0) for w in words]
         if pair:
             total = sum([pair.get(p, s) for p, s in zip(zip([b"", *words], words), single)])
         else:
@@ -83,9 +90,10 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_c
     sample = cut_lineage(sample)
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4))
     pairs = cut_lineage(sample.where(part > 0).select("text", "toxic").mapInArrow(_pair_counts, "v binary, w binary, ordinary long, toxic long").groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    words = pairs.groupBy("w").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"), F.count("*").alias("contexts"))
+    # in how many contexts a word occurs in each class, and in both together: copies of a text add none
+    words = pairs.groupBy("w").agg(F.count_if(F.col("ordinary") > 0).alias("o"), F.count_if(F.col("toxic") > 0).alias("t"), F.count("*").alias("contexts"))
     n_o, n_t, types_o, types_t, contexts = (float(x or 0) for x in words.agg(F.sum("o"), F.sum("t"), F.count_if(F.col("o") > 0), F.count_if(F.col("t") > 0), F.sum("contexts")).first())
-    model = Model({}, {}, np.array([0.0, 0.0, -40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
+    model = Model({}, {}, {}, np.array([0.0, 0.0, -40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
     if not n_o or not n_t:
         return model
     kept = words.where(F.col("o") + F.col("t") >= min_count).toArrow()
@@ -94,11 +102,15 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_c
     p_o = (np.maximum(o - discount, 0) + discount * types_o * shared) / n_o
     p_t = (np.maximum(t - discount, 0) + discount * types_t * shared) / n_t
     model.word = {k: x for k, x, differs in zip(w, np.log(p_t / p_o).tolist(), _differ(o, t, n_o, n_t)) if differs}
+    stems = words.where(F.length("w") > STEM).groupBy(F.substring("w", 1, STEM).alias("s")).agg(F.sum("o").alias("o"), F.sum("t").alias("t")).where(F.col("o") + F.col("t") >= min_count).toArrow()
+    s_o, s_t = (stems.column(i).to_numpy().astype(float) for i in (1, 2))
+    back = np.log(((s_t + discount) / n_t) / ((s_o + discount) / n_o))
+    model.stem = {k: x for k, x, differs in zip(stems.column(0).to_pylist(), back.tolist(), _differ(s_o, s_t, n_o, n_t)) if differs}
     of = {k: (a, b) for k, a, b in zip(w, p_o.tolist(), p_t.tolist())}
     context = pairs.groupBy("v").agg(F.sum("ordinary").alias("vo"), F.sum("toxic").alias("vt"), F.count_if(F.col("ordinary") > 0).alias("to"), F.count_if(F.col("toxic") > 0).alias("tt"))
     often = pairs.where(F.col("ordinary") + F.col("toxic") >= min_pair).join(context, "v").where("vo > 0 and vt > 0").toArrow()
     for r in often.to_pylist():
-        if not _differ(r["ordinary"], r["toxic"], r["vo"], r["vt"]):
+        if r["w"] not in model.word or not _differ(r["ordinary"], r["toxic"], r["vo"], r["vt"]):
             continue
         q_o, q_t = of[r["w"]]
         a = (max(r["ordinary"] - discount, 0) + discount * r["to"] * q_o) / r["vo"]
