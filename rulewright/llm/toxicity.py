@@ -27,6 +27,8 @@ from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
 
 #: Bytes of a word's beginning that words without counts of their own back off to.
 STEM = 5
+#: Least log ratio of a stem that is used: stems are shared by many words, so weak ones only add noise.
+STEM_RATIO = 3.0
 
 
 @dataclass
@@ -105,7 +107,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_c
     stems = words.where(F.length("w") > STEM).groupBy(F.substring("w", 1, STEM).alias("s")).agg(F.sum("o").alias("o"), F.sum("t").alias("t")).where(F.col("o") + F.col("t") >= min_count).toArrow()
     s_o, s_t = (stems.column(i).to_numpy().astype(float) for i in (1, 2))
     back = np.log(((s_t + discount) / n_t) / ((s_o + discount) / n_o))
-    model.stem = {k: x for k, x, differs in zip(stems.column(0).to_pylist(), back.tolist(), _differ(s_o, s_t, n_o, n_t)) if differs}
+    model.stem = {k: x for k, x, differs in zip(stems.column(0).to_pylist(), back.tolist(), _differ(s_o, s_t, n_o, n_t)) if differs and abs(x) >= STEM_RATIO}
     of = {k: (a, b) for k, a, b in zip(w, p_o.tolist(), p_t.tolist())}
     context = pairs.groupBy("v").agg(F.sum("ordinary").alias("vo"), F.sum("toxic").alias("vt"), F.count_if(F.col("ordinary") > 0).alias("to"), F.count_if(F.col("toxic") > 0).alias("tt"))
     often = pairs.where(F.col("ordinary") + F.col("toxic") >= min_pair).join(context, "v").where("vo > 0 and vt > 0").toArrow()
