@@ -81,7 +81,7 @@ def rules() -> dict[str, Column]:
     """The votes over statistics(). A rule that looks for one defect abstains where it finds none: that doesn't make a text good."""
     n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
     return {
-        "length": _vote(n < 5, n >= 2 * MIN_WORDS),
+        "length": _vote(good=n >= 2 * MIN_WORDS),
         "symbols": _vote(10 * F.col("n_symbols") > n),
         "repetition": _vote(100 * F.col("n_repeat_words") > 30 * n),
         "lines": _vote((F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
@@ -98,7 +98,9 @@ PRIOR = {"bad": {-1: 0.25, 1: 0.5}, "good": {-1: 0.003, 1: 0.7}}
 #: What the priors weigh, as shares of all documents.
 STRENGTH = {"bad": 0.01, "good": 0.2}
 #: A rule's bad votes on good documents are at most this share: else kinds of defects that never meet could pass for a trait of good documents.
-MOST_FALSE = 0.01
+MOST_FALSE = 0.005
+#: A good vote is at most this many times as likely on a good document: looking sound in one respect rules out no defect in another.
+MOST_MERIT = 1.3
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, share: float, rounds: int = 100, tolerance: float = 1e-7) -> list[dict]:
@@ -123,6 +125,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, share: f
         rates = [{k: {v: (x + (2 + STRENGTH[k] * total) * PRIOR[k][v]) / (weight[k] + 2 + STRENGTH[k] * total) for v, x in of.items()} for k, of in s.items()} for s in sums]
         for r in rates:
             r["good"][-1] = min(r["good"][-1], MOST_FALSE)
+            r["bad"][1] = max(r["bad"][1], r["good"][1] / MOST_MERIT)
         if abs(good - old) < tolerance * total:
             break
         old = good
