@@ -19,8 +19,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 SENTENCE_END = re.compile(r"(\w+)([.,]?)(?:(\n)(\w+))?")
-#: Remembered segments per worker; the memory is emptied when full. Longer ones are not remembered.
-MEMORY, LONGEST = 1_300_000, 40
+#: Segments remembered per worker since the memory was last dealt anew, which then keeps the ones before as the older half,
+#: so that what recurs is never learnt again. Longer ones are not remembered.
+MEMORY, LONGEST = 350_000, 40
 
 _loaded: dict[tuple[str, bool], "SegmentTokenizer"] = {}
 
@@ -35,7 +36,7 @@ class SegmentTokenizer:
         self.tokenizer.encode_special_tokens = special_as_text
         self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, segments: set[str]) -> None:
         """Remember the ids, as little-endian unsigned 32-bit numbers, of segments that each follow a safe cut."""
@@ -45,11 +46,8 @@ class SegmentTokenizer:
             m = SENTENCE_END.fullmatch(s)
             split = m and m[1].isalpha() and (m[4] is None or m[4].isalpha())
             made[s] = [f" {m[1]}", *filter(None, m.groups()[1:])] if split else [f" {s}"]
-        pieces = self.pieces
-        new = list({x for xs in made.values() for x in xs if x not in pieces})
-        if new:
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                pieces[x] = _packed(e.ids)
+        new = list({x for xs in made.values() for x in xs})
+        pieces = {x: _packed(e.ids) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))} if new else {}
         for s, xs in made.items():
             self.known[s] = pieces[xs[0]] if len(xs) == 1 else b"".join([pieces[x] for x in xs])
 
@@ -64,10 +62,12 @@ class SegmentTokenizer:
             new = {s for s, x in zip(parts, found) if x is None}
             if any(not s or s[0].isspace() or s[-1].isspace() for s in new):
                 return None
-            if len(self.known) > MEMORY or len(self.pieces) > MEMORY:
-                self.known.clear()
-                self.pieces.clear()
-            self._learn({s for s in new if len(s) <= LONGEST})
+            if len(self.known) > MEMORY:
+                # parts found so far are held in `found`
+                self.older, self.known = self.known, {}
+            again = {s: x for s in new if (x := self.older.get(s)) is not None}
+            self.known |= again
+            self._learn({s for s in new if len(s) <= LONGEST and s not in again})
             found = [self.known[s] if x is None and len(s) <= LONGEST else self.plain(f" {s}") if x is None else x for s, x in zip(parts, found)]
         return b"".join(found)
 
