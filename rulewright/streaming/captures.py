@@ -1,0 +1,50 @@
+"""The same folds over streams. The analytics being rebuilt are batch; this is an extension that shares their expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from rulewright.operators.cases import classified
+
+FIELD = "session string, field string, best_value string, best_confidence double, n_readings long, conflicting boolean"
+
+
+def fold_captures(readings: DataFrame) -> DataFrame:
+    """Best reading so far per session and field of a stream (session, field, value, confidence, sequence).
+
+    State is one best reading and whether another value was seen, whatever the number of readings; the order in which readings
+    arrive doesn't matter: the most confident wins, then the lesser sequence, then the lesser value. A session is forgotten 300 s
+    after its last reading. Output mode: update.
+    """
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, n, conflicting = ((*state.get[:3],), state.get[3], state.get[4]) if state.exists else (None, 0, False)
+        for rows in batches:
+            for value, confidence, sequence in zip(rows["value"], rows["confidence"], rows["sequence"]):
+                mine = (-float(confidence), int(sequence), value)
+                conflicting = conflicting or (best is not None and best[2] != value)
+                best, n = mine if best is None else min(best, mine), n + 1
+        state.update((*best, n, conflicting))
+        state.setTimeoutDuration(300_000)
+        yield pd.DataFrame([(*key, best[2], -best[0], n, conflicting)], columns=[c.split()[0] for c in FIELD.split(", ")])
+
+    read = readings.select("session", "field", F.col("value").cast("string").alias("value"), F.col("confidence").cast("double").alias("confidence"), F.col("sequence").cast("long").alias("sequence")).where("value is not null and confidence is not null and sequence is not null")
+    return read.groupBy("session", "field").applyInPandasWithState(fold, FIELD, "confidence double, sequence long, value string, n long, conflicting boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def first_posts(posts: DataFrame, event_time: str, delay: str = "1 day") -> DataFrame:
+    """Classified posts of a stream, each text once within `delay`."""
+    return classified(posts).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def volumes(posts: DataFrame, event_time: str, window: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Posts of a stream counted by window of event time, city and category; late ones count until `delay` has passed."""
+    return classified(posts).withWatermark(event_time, delay).groupBy(F.window(event_time, window), "city", "category").agg(F.count("*").alias("posts"))
