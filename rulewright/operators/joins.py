@@ -58,11 +58,12 @@ def only_candidate(needs: DataFrame, candidates: DataFrame, keys: list[str], val
 def best_pair(pairs: DataFrame, keys: list[str], score: str, choice: str, sure: float = 0.70, least: float = 0.30) -> DataFrame:
     """Per key the best scored choice (the lesser winning ties), its lead over the runner-up, and whether it is VERIFIED, AMBIGUOUS or NONE.
 
-    The best two are folded, not sorted: a key's candidates are never gathered.
+    The runner-up is the best of the other choices: a repeated choice doesn't compete with itself. The best two
+    are folded, not sorted: a key's candidates are never gathered.
     """
     ranked = pairs.withColumn("_r", F.struct(F.col(score).alias("s"), (-F.col(choice)).alias("c")))
     best = ranked.groupBy(*keys).agg(F.max("_r").alias("_best"))
-    rest = ranked.join(best, keys).where(F.col("_r") != F.col("_best")).groupBy(*keys).agg(F.max("_r.s").alias("_second"))
+    rest = ranked.join(best, keys).where(F.col(choice) != -F.col("_best.c")).groupBy(*keys).agg(F.max("_r.s").alias("_second"))
     found = best.join(rest, keys, "left")
     top = F.col("_best.s")
     return found.select(*keys, (-F.col("_best.c")).alias(choice), top.alias(score), (top - F.coalesce("_second", F.lit(0.0))).alias("lead"), F.when(top >= sure, "VERIFIED").when(top >= least, "AMBIGUOUS").otherwise("NONE").alias("status"))

@@ -104,7 +104,7 @@ def only_candidates(spark, d):
     return joins.only_candidate(_t(spark, d, "orders").select("o_orderkey"), found, ["o_orderkey"], "line", "confidence").select("o_orderkey", "line", F.round("confidence", 6).alias("confidence"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, round(l_discount*10, 6) AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount*10, 6) DESC, l_linenumber) n FROM lineitem)
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, round(l_discount*10, 6) AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount*10, 6) DESC, l_linenumber) n FROM (SELECT l_orderkey, l_linenumber, max(l_discount) AS l_discount FROM lineitem GROUP BY ALL))
  SELECT l_orderkey, max(l_linenumber) FILTER (n=1) AS l_linenumber, max(score) FILTER (n=1) AS score, round(max(score) FILTER (n=1) - coalesce(max(score) FILTER (n=2), 0), 6) AS lead, CASE WHEN max(score) FILTER (n=1) >= 0.7 THEN 'VERIFIED' WHEN max(score) FILTER (n=1) >= 0.3 THEN 'AMBIGUOUS' ELSE 'NONE' END AS status FROM r GROUP BY 1""")
 def best_pairs(spark, d):
     scored = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_discount") * 10, 6).alias("score"))

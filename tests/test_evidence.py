@@ -1,4 +1,4 @@
-"""Box operators against brute force, stores by round trip, and the streaming folds against their batch forms."""
+"""Box operators against brute force, stores by round trip."""
 
 import itertools
 import json
@@ -8,9 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import geometry
-from rulewright.operators import relational, spatial
+from rulewright.operators import spatial
 from rulewright.sources import stores
-from rulewright.streaming import captures
 
 
 def test_least_cost_assignment_equals_all_permutations():
@@ -76,15 +75,3 @@ def test_children_are_replaced_for_their_parents_only(spark, tmp_path):
     stores.replace_children(spark.createDataFrame([(1, "a"), (2, "b")], "fact int, parent string"), path, "parent")
     stores.replace_children(spark.createDataFrame([(3, "a")], "fact int, parent string"), path, "parent")
     assert {(r.fact, r.parent) for r in spark.read.parquet(path).collect()} == {(3, "a"), (2, "b")}
-
-
-def test_captures_fold_like_the_batch(spark, tmp_path):
-    rows = [("s", "mrp", "10", 0.5, 1), ("s", "mrp", "12", 0.9, 2), ("s", "mrp", "12", 0.9, 3), ("s", "lot", "x", 0.4, 4)]
-    readings = spark.createDataFrame(rows, "session string, field string, value string, confidence double, sequence long")
-    readings.write.parquet(str(tmp_path / "in"))
-    stream = captures.fold_captures(spark.readStream.schema(readings.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    got = {(r.session, r.field): (r.best_value, r.conflicting) for r in spark.table("folded").collect()}
-    want = {(r.session, r.field): (r.best_value, r.agreement == "CONFLICTING") for r in relational.best_reading(readings, ["session", "field"], "value", "confidence", "sequence").collect()}
-    assert got == want
