@@ -9,6 +9,8 @@ from rulewright.functions.text import tokens
 
 K1, B = 1.5, 0.75
 BM25_SHARE, TFIDF_SHARE = 0.55, 0.45
+#: Parts that a term's postings are dealt to where the queries' terms are too many to broadcast.
+SALTS = 16
 
 
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
@@ -22,10 +24,11 @@ def statistics(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
 
 
-def search(chunks: DataFrame, key: str, text: Column, queries: DataFrame, k: int = 10) -> DataFrame:
+def search(chunks: DataFrame, key: str, text: Column, queries: DataFrame, k: int = 10, most: int = 1_000_000) -> DataFrame:
     """Top k chunks of each query (query_id, query): bm25, tfidf and the fused score, rounded to 6 places, ties by key.
 
-    Only postings of query terms are scored; the queries' terms are a small set and are broadcast.
+    Only postings of query terms are scored. The queries' terms are counted, and broadcast if they are
+    `most` at most; else they are joined by term and salt, so that a frequent term isn't one task's.
     """
     index = postings(chunks, key, text)
     stats = statistics(index, key)
@@ -34,13 +37,20 @@ def search(chunks: DataFrame, key: str, text: Column, queries: DataFrame, k: int
     terms = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("bm_idf"), (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"), "avgdl")
     weighed = index.join(terms, "term")
     norms = weighed.groupBy(key).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
-    hits = weighed.join(F.broadcast(asked), "term")
+    small = asked.count() <= most
+    if small:
+        hits = weighed.join(F.broadcast(asked), "term")
+    else:
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = weighed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
     bm = F.col("qtf") * F.col("bm_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     scores = hits.groupBy("query_id", key).agg(F.sum(bm).alias("bm25"), F.sum(F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")).alias("dot"))
     q_norm = asked.join(terms, "term").groupBy("query_id").agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("q_norm"))
-    scored = scores.join(norms, key).join(F.broadcast(q_norm), "query_id").withColumn("tfidf", F.col("dot") / (F.col("norm") * F.col("q_norm")))
+    each = F.broadcast if small else lambda x: x
+    scored = scores.join(norms, key).join(each(q_norm), "query_id").withColumn("tfidf", F.col("dot") / (F.col("norm") * F.col("q_norm")))
+    tops = scored.groupBy("query_id").agg(F.max("bm25").alias("top_bm25"), F.max("tfidf").alias("top_tfidf"))
+    best = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"top_{c}")), F.lit(0.0))
+    fused = scored.join(each(tops), "query_id").withColumn("score", F.round(BM25_SHARE * best("bm25") + TFIDF_SHARE * best("tfidf"), 6))
     per = Window.partitionBy("query_id")
-    best = lambda c: F.coalesce(F.try_divide(F.col(c), F.max(c).over(per)), F.lit(0.0))
-    fused = scored.withColumn("score", F.round(BM25_SHARE * best("bm25") + TFIDF_SHARE * best("tfidf"), 6))
     ranked = fused.withColumn("rank", F.row_number().over(per.orderBy(F.col("score").desc(), key)))
     return ranked.where(F.col("rank") <= k).select("query_id", key, F.round("bm25", 6).alias("bm25"), F.round("tfidf", 6).alias("tfidf"), "score", "rank")

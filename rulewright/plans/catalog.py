@@ -289,6 +289,12 @@ def hybrid_topk(spark, d):
     return retrieval.search(_t(spark, d, "documents"), "doc_id", F.col("text"), _asked(spark, d), 10)
 
 
+@query("WITH " + _INDEX.replace("text[:60]", "text").replace("item_id<5", "item_id % 100 = 0"))
+def hybrid_topk_whole(spark, d):
+    asked = _t(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.search(_t(spark, d, "documents"), "doc_id", F.col("text"), asked, 10)
+
+
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
 
 
