@@ -31,6 +31,11 @@ def id_remainder(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
 
 
+def row_key(documents: DataFrame) -> Column:
+    """A long for each row's doc_id and text: rows that only share a doc_id, or have none, stay apart. Null texts count as empty."""
+    return F.xxhash64(documents["doc_id"].cast("long"), F.coalesce(documents["text"].cast("string"), F.lit("")))
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """UTF-8 words between ASCII white space, with only A-Z lower-cased; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

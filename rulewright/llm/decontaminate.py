@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import without_rows
+from rulewright.llm.common import row_key, without_rows
 
 #: Bytes of a lower-cased text that separate words: ASCII other than 0-9 and a-z (A-Z become a-z).
 _SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -179,7 +179,11 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, b
     return both.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", F.coalesce(merge, F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), "items", "b.longest", "b.longest_item", "b.longest_start")
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents, all columns kept, in which no window of the benchmark occurs. Rows that share a doc_id go together."""
-    hit = find_matches(documents, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit"))
-    return without_rows(documents, hit, documents["doc_id"].cast("long"))
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, by_row: bool = False) -> DataFrame:
+    """The documents, all columns kept, in which no window of the benchmark occurs.
+
+    Rows that share a doc_id go together; with `by_row` each goes by its own text, whatever its doc_id.
+    """
+    key = row_key(documents) if by_row else documents["doc_id"].cast("long")
+    hit = find_matches(documents.select(key.alias("doc_id"), "text"), benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit"))
+    return without_rows(documents, hit, key)

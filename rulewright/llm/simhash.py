@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import cut_lineage, lower_words, without_rows
+from rulewright.llm.common import cut_lineage, lower_words, row_key, without_rows
 from rulewright.llm.components import connected_components
 
 SEED = 42
@@ -51,16 +51,21 @@ def fingerprint(text: str | None, shingle_words: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, shingle_words: int = 4) -> DataFrame:
-    """Every document's (doc_id, fp), fp being the 64 bits as a signed long."""
+def _keyed_fingerprints(documents: DataFrame, shingle_words: int) -> DataFrame:
+    """Every document's (doc_id, row_key, fp)."""
 
     def run(batches):
         for batch in batches:
             found = np.fromiter((fingerprint(x, shingle_words) for x in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(found.view(np.int64))], names=["doc_id", "row_key", "fp"])
 
-    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(documents).alias("row_key"), F.col("text").cast("string").alias("text"))
+    return kept.mapInArrow(run, "doc_id long, row_key long, fp long")
+
+
+def fingerprints(documents: DataFrame, shingle_words: int = 4) -> DataFrame:
+    """Every document's (doc_id, fp), fp being the 64 bits as a signed long."""
+    return _keyed_fingerprints(documents, shingle_words).select("doc_id", "fp")
 
 
 def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -172,13 +177,21 @@ def near_duplicates(documents: DataFrame, shingle_words: int = 4, radius: int =
 def keep_first(documents: DataFrame, shingle_words: int = 4, radius: int = 4) -> DataFrame:
     """The documents, all columns kept, with one of each group of near duplicates: the one with the least doc_id.
 
-    Of rows that repeat a kept doc_id one stays; rows without doc_id stay if nothing else in their group has one.
+    Groups are of rows, told apart by doc_id and text, so unlike texts with the same doc_id, or with
+    none, each stay. A row without doc_id is chosen only if nothing else in its group has one.
     """
-    groups = cut_lineage(near_duplicates(documents, shingle_words, radius))
-    later = groups.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_later"))
-    kept = without_rows(documents, later, documents["doc_id"].cast("long"))
-    repeated = cut_lineage(groups.where("doc_id <=> component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_later")))
+    prints = cut_lineage(_keyed_fingerprints(documents, shingle_words))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    distinct = prints.groupBy("fp").agg(least.alias("first"))
+    roots = connected_components(link_edges(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("first")["row_key"].alias("chosen"))
+    groups = cut_lineage(prints.join(rooted.select("fp", "root").join(chosen, "root"), "fp").select("row_key", "chosen"))
+    later = groups.where("row_key != chosen").select(F.col("row_key").alias("_later"))
+    kept = without_rows(documents, later, row_key(documents))
+    repeated = cut_lineage(groups.where("row_key = chosen").groupBy("row_key").count().where("count > 1").select(F.col("row_key").alias("_later")))
     if repeated.isEmpty():
         return kept
-    once = without_rows(kept, repeated, kept["doc_id"].cast("long"))
-    return once.unionByName(kept.join(repeated, kept["doc_id"].cast("long").eqNullSafe(repeated["_later"]), "left_semi").dropDuplicates(["doc_id"]))
+    once = without_rows(kept, repeated, row_key(kept))
+    copies = kept.withColumn("_row_key", row_key(kept)).join(repeated, F.col("_row_key") == F.col("_later"), "left_semi")
+    return once.unionByName(copies.dropDuplicates(["_row_key"]).drop("_row_key"))
