@@ -49,8 +49,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple[int, int, int, int, int]] = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
-                ids = memoryview(tokenizer.ids(text) + end)
+            for at, found in enumerate(tokenizer.batch_ids(batch.column("text"))):
+                ids = memoryview(found.tobytes() + end)
                 n, start = len(ids) // 4, 0
                 for length in cut_lengths(n, capacity, cut_classes):
                     rows.append((at, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
@@ -113,12 +113,16 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 20
 
 
 def materialise(documents: DataFrame, plan: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """The packed sequences themselves: sequence_id, ids array<int>, doc_ids array<long>. Needs unique doc_ids."""
+    """The packed sequences themselves: sequence_id, ids array<int>, doc_ids array<long>.
+
+    `plan` is pack_documents()'s result for the same documents, whose doc_ids must differ and not be null: repeated ids multiply
+    rows, and null ones are left out. Null texts are end_id alone; empty tables give none; extra columns are ignored.
+    """
 
     def run(batches):
         tokenizer = tokens.load(tokenizer_path)
         for batch in batches:
-            ids = [np.frombuffer(tokenizer.ids(x), "<u4").tolist() + [end_id] for x in batch.column("text").to_pylist()]
+            ids = [[*x.tolist(), end_id] for x in tokenizer.batch_ids(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     whole = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")

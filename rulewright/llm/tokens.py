@@ -1,8 +1,9 @@
-"""Byte-BPE tokenising, with the ids of text segments remembered per worker.
+"""Byte-BPE tokenising of whole Arrow batches, each distinct segment of text encoded once.
 
 A *safe cut* is a single space between two non-space characters. The pre-tokeniser always starts a
 piece there, and whether a place is a safe cut depends on its two neighbours only. So the ids of a
-text are those of its segments between safe cuts, joined; segments repeat a lot and are remembered.
+text are those of its segments between safe cuts, joined. Texts are split and their segments numbered
+in Arrow, distinct segments encoded in one call of the library, and the ids put together by index.
 """
 
 from __future__ import annotations
@@ -11,21 +12,50 @@ import os
 import re
 import sys
 from array import array
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # one thread per task: Spark runs as many tasks as there are cores
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-SENTENCE_END = re.compile(r"(\w+)([.,]?)(?:(\n)(\w+))?")
-#: Segments remembered per worker since the memory was last dealt anew, which then keeps the ones before as the older half,
-#: so that what recurs is never learnt again. Longer ones are not remembered.
-MEMORY, LONGEST = 350_000, 40
+#: Bytes of text put together at a time; words encoded in one string; pieces remembered per worker since the memory was last dealt
+#: anew, which then keeps those before as the older half; characters of the longest that is remembered.
+PART_BYTES, TOGETHER, MEMORY, LONGEST = 8 << 20, 1000, 250_000, 40
 
 _loaded: dict[tuple[str, bool], "SegmentTokenizer"] = {}
 
 
+def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The slices flat[start:start + length], one after another."""
+    ends = np.cumsum(length)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+
+
+def _true(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(bool)
+
+
+@dataclass
+class Segments:
+    """Segments of some texts: of text i those from first[i] to first[i + 1]."""
+
+    first: np.ndarray
+    unit: np.ndarray  # which distinct segment each is
+    chars: np.ndarray  # of each distinct segment, the space before it included
+    count: np.ndarray  # ids of each distinct segment
+    flat: np.ndarray  # their ids, one after another
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, and where each text's begin (and the end)."""
+        count = self.count[self.unit]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        return gather(self.flat, (np.cumsum(self.count) - self.count)[self.unit], count), ends[self.first]
+
+
 class SegmentTokenizer:
     """ids of texts by the `tokenizers` library, without special tokens being added."""
 
@@ -37,66 +67,132 @@ class SegmentTokenizer:
         self.special = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def _learn(self, segments: set[str]) -> None:
-        """Remember the ids, as little-endian unsigned 32-bit numbers, of segments that each follow a safe cut."""
-        made = {}
-        for s in segments:
-            # letters, a stop or comma, a line end and letters are pieces of their own, which recur far more often
-            m = SENTENCE_END.fullmatch(s)
-            split = m and m[1].isalpha() and (m[4] is None or m[4].isalpha())
-            made[s] = [f" {m[1]}", *filter(None, m.groups()[1:])] if split else [f" {s}"]
-        new = list({x for xs in made.values() for x in xs})
-        pieces = {x: _packed(e.ids) for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))} if new else {}
-        for s, xs in made.items():
-            self.known[s] = pieces[xs[0]] if len(xs) == 1 else b"".join([pieces[x] for x in xs])
-
-    def plain(self, text: str) -> bytes:
-        """ids of one piece of text, as it stands."""
-        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _parts(self, parts: list[str]) -> bytes | None:
-        """ids of parts that each follow a safe cut; None if some can't lie between safe cuts."""
-        found = list(map(self.known.get, parts))
-        if None in found:
-            new = {s for s, x in zip(parts, found) if x is None}
-            if any(not s or s[0].isspace() or s[-1].isspace() for s in new):
-                return None
-            if len(self.known) > MEMORY:
-                # parts found so far are held in `found`
-                self.older, self.known = self.known, {}
-            again = {s: x for s in new if (x := self.older.get(s)) is not None}
-            self.known |= again
-            self._learn({s for s in new if len(s) <= LONGEST and s not in again})
-            found = [self.known[s] if x is None and len(s) <= LONGEST else self.plain(f" {s}") if x is None else x for s, x in zip(parts, found)]
-        return b"".join(found)
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # byte-level BPE's sign for a space
+
+    def _plain(self, pieces: list[str]) -> list[bytes]:
+        """ids of pieces of text, as they stand, as unsigned 32-bit numbers."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)] if pieces else []
+
+    def count(self, text: str) -> int:
+        """How many ids a piece of text has, as it stands."""
+        return len(self._plain([text])[0]) // 4
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of words, each a space and letters: encoded many in one string, and told apart by the spaces that tokens begin with."""
+        out: list[bytes] = []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False) if groups else []):
+            ids = np.array(e.ids, np.uint32)
+            at = np.append(np.nonzero(self.begins[ids])[0], len(ids)) * 4
+            if len(at) != len(group) + 1 or at[0]:
+                out += self._plain(group)
+                continue
+            raw, bounds = ids.tobytes(), at.tolist()
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    def _encoded(self, pieces: list[str], are_words: int) -> list[bytes]:
+        """ids of distinct pieces, of which the first `are_words` are words."""
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        found = list(map(self.known.get, pieces))
+        if self.older:
+            older = self.older.get
+            found = [older(s) if x is None else x for s, x in zip(pieces, found)]
+        words, others = ([s for s, x in zip(pieces[a:b], found[a:b]) if x is None] for a, b in ((0, are_words), (are_words, None)))
+        made = iter(self._words(words) + self._plain(others))
+        found = [next(made) if x is None else x for x in found]
+        self.known.update(zip(pieces, found) if max(map(len, pieces), default=0) <= LONGEST else [(s, x) for s, x in zip(pieces, found) if len(s) <= LONGEST])
+        return found
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Strings of the texts' segments, without the space before each but the first, which string each segment is, and each text's first segment."""
+        parts = pc.split_pattern(texts, " ")
+        coded = parts.flatten().dictionary_encode()
+        strings, code, first = coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64)
+        first -= first[0]
+        size = pc.binary_length(strings).to_numpy()
+        begins, ends = ((size == 0) | (pc.binary_length(trim(strings)).to_numpy() < size) for trim in (pc.utf8_ltrim_whitespace, pc.utf8_rtrim_whitespace))
+        odd = np.zeros(len(texts), bool)
+        if len(code) > 1:
+            unsafe = ends[code[:-1]] | begins[code[1:]]
+            unsafe[first[1:-1] - 1] = False
+            odd[np.searchsorted(first, np.nonzero(unsafe)[0], "right") - 1] = True
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        at = np.nonzero(odd | whole)[0]
+        if not len(at):
+            return strings, code, first
+        # texts with other spaces are split by pattern; those with special tokens are one segment
+        others = [[t] if w else SAFE_CUT.split(t) for t, w in zip(texts.take(pa.array(at)).to_pylist(), whole[at].tolist())]
+        more = pa.array([x for xs in others for x in xs], pa.string()).dictionary_encode()
+        start, count = first[:-1].copy(), np.diff(first)
+        count[at] = list(map(len, others))
+        start[at] = len(code) + np.cumsum(count[at]) - count[at]
+        code = gather(np.concatenate((code, more.indices.to_numpy() + len(strings))), start, count)
+        return pa.concat_arrays([strings, more.dictionary]), code, np.concatenate(([0], np.cumsum(count)))
+
+    def segments(self, texts: pa.Array) -> Segments:
+        """Segments of texts (null: empty)."""
+        strings, code, first = self._split(pc.fill_null(texts.cast(pa.string()), ""))
+        unit = code.astype(np.int64)
+        unit[first[:-1]] += len(strings)
+        used = np.zeros(2 * len(strings), bool)
+        used[unit] = True
+        unit = (np.cumsum(used) - 1)[unit]
+        later, leading = (strings.take(pa.array(np.nonzero(u)[0])) for u in (used[: len(strings)], used[len(strings) :]))
+        # letters, a stop or comma, a line end and letters are pieces of their own, which recur far more often
+        lines = pc.split_pattern(later, "\n")
+        at, flat = lines.offsets.to_numpy().astype(np.int64), lines.flatten()
+        at -= at[0]
+        two = np.diff(at) == 2
+        head, after = flat.take(pa.array(at[:-1])), flat.take(pa.array(np.where(two, at[:-1] + 1, 0), mask=~two))
+        word = pc.utf8_rtrim(head, ".,")
+        stops = (pc.binary_length(head).to_numpy() - pc.binary_length(word).to_numpy()) if len(head) else np.zeros(0, int)
+        fits = (np.diff(at) <= 2) & (stops <= 1) & _true(pc.utf8_is_alpha(word)) & (~two | _true(pc.utf8_is_alpha(pc.fill_null(after, ""))))
+        simple = pa.array(fits)
+        stop = pc.if_else(pc.ends_with(head, "."), ".", ",")
+        pick = lambda use, x: pc.if_else(pa.array(fits & use), x, "")
+        blank = pa.array([""] * len(leading), pa.string())
+        words = pc.binary_join_element_wise(" ", word.filter(simple), "").dictionary_encode()
+        rest = pa.concat_arrays([pc.binary_join_element_wise(" ", later.filter(pa.array(~fits)), ""), leading, *(pa.concat_arrays([x, blank]) for x in (pick(stops == 1, stop), pick(two, "\n"), pick(two, after)))]).dictionary_encode()
+        encoded = self._encoded(words.dictionary.to_pylist() + rest.dictionary.to_pylist(), len(words.dictionary))
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+        raw = np.frombuffer(b"".join(encoded), np.uint32)
+        n_odd, n = int((~fits).sum()), len(later) + len(leading)
+        index = rest.indices.to_numpy().astype(np.int64) + len(words.dictionary)
+        of = np.empty((n, 4), np.int64)
+        of[np.nonzero(fits)[0], 0] = words.indices.to_numpy()
+        of[np.nonzero(~fits)[0], 0] = index[:n_odd]
+        of[len(later) :, 0] = index[n_odd : n_odd + len(leading)]
+        of[:, 1:] = index[n_odd + len(leading) :].reshape(3, n).T
+        count = sizes[of]
+        chars = np.concatenate((pc.utf8_length(later).to_numpy() + 1, pc.utf8_length(leading).to_numpy()))
+        return Segments(first, unit, chars.astype(np.int64), count.sum(axis=1), gather(raw, (np.cumsum(sizes) - sizes)[of.ravel()], count.ravel()))
+
+    def parts(self, texts: pa.Array):
+        """(from, to) ranges of texts of about PART_BYTES together, at least one text each, and their Segments."""
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PART_BYTES, "right")))
+            yield a, b, self.segments(texts.slice(a, b - a))
+            a = b
 
     def ids(self, text: str | None) -> bytes:
-        """ids of a whole text as little-endian unsigned 32-bit numbers; none for null."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self.plain(text)
-        first, *parts = text.split(" ")
-        # what is remembered lies between safe cuts, so parts that are all known need no further look
-        rest = self._parts(parts) if first and not first[-1].isspace() else None
-        if rest is None:
-            first, *parts = SAFE_CUT.split(text)
-            # only the last part can end in white space
-            rest = self._parts(parts[:-1]) + self.plain(f" {parts[-1]}") if parts else b""
-        return self.plain(first) + rest
-
-    def ids_from_cut(self, piece: str) -> bytes:
-        """ids of a piece of text that starts and ends at a safe cut, or at an end of its text."""
-        if piece[:1] == " ":
-            found = self._parts(piece[1:].split(" "))
-            if found is not None:
-                return found
-        return self.ids(piece)
-
-
-def _packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        """ids of one whole text as little-endian unsigned 32-bit numbers; none for null."""
+        return next(self.batch_ids(pa.array([text], pa.string()))).tobytes()
+
+    def batch_ids(self, texts: pa.Array):
+        """For each text in turn its ids as an array of little-endian unsigned 32-bit numbers."""
+        for _, _, part in self.parts(texts):
+            flat, bounds = part.ids()
+            flat = flat if sys.byteorder == "little" else flat.astype("<u4")
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield flat[a:b]
 
 
 def load(path: str, special_as_text: bool = False) -> SegmentTokenizer:
