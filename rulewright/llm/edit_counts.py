@@ -25,31 +25,30 @@ EDITS = "array<struct<start:long,length:long,insert:string>>"
 class Tree:
     """Segment tree of one text; `chars` and `tokens` hold leaf values from `base` on and sums before."""
 
-    def __init__(self, text: str, tokenizer: tokens.SegmentTokenizer):
+    def __init__(self, text: str, tokenizer: tokens.SegmentTokenizer, leaves: tuple[np.ndarray, np.ndarray] | None = None):
+        """`leaves` are the characters and tokens of its leaves, where they are known."""
         self.text, self.tokenizer, self.reencoded = text, tokenizer, 0
-        self._deal([(0, len(text))])
+        self._deal(*(leaves or next(_leaves([text], tokenizer))[1]))
 
-    def _leaves(self, a: int, b: int) -> list[tuple[int, int]]:
-        """(characters, tokens) of leaves for text[a:b], which starts and ends at a safe cut or an end of the text."""
-        cuts = [m.start() for m in tokens.SAFE_CUT.finditer(self.text, a + 1, b)][LEAF - 1 :: LEAF]
-        bounds = [a, *cuts, b]
-        return [(y - x, len(self.tokenizer.ids_from_cut(self.text[x:y])) // 4) for x, y in zip(bounds, bounds[1:]) if y > x]
-
-    def _deal(self, spans: list[tuple[int, int]]) -> None:
-        leaves = [x for a, b in spans for x in self._leaves(a, b)]
+    def _deal(self, chars: np.ndarray, counts: np.ndarray) -> None:
+        """Build the tree over leaves of so many characters and tokens."""
         self.base = 1
-        while self.base < len(leaves):
+        while self.base < len(chars):
             self.base *= 2
-        self.used = len(leaves)
+        self.used = len(chars)
         self.chars, self.tokens = np.zeros(2 * self.base, np.int64), np.zeros(2 * self.base, np.int64)
-        if leaves:
-            self.chars[self.base : self.base + len(leaves)], self.tokens[self.base : self.base + len(leaves)] = np.array(leaves).T
+        self.chars[self.base : self.base + self.used], self.tokens[self.base : self.base + self.used] = chars, counts
         level = self.base
         while level > 1:
             for sums in (self.chars, self.tokens):
                 sums[level // 2 : level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
             level //= 2
 
+    def _anew(self) -> None:
+        """Encode the whole text and deal its leaves out evenly."""
+        self._deal(*next(_leaves([self.text], self.tokenizer))[1])
+        self.reencoded += len(self.text)
+
     @property
     def total(self) -> int:
         return int(self.tokens[1])
@@ -79,8 +78,7 @@ class Tree:
         stop = min(start + max(length, 0), n)
         self.text = self.text[:start] + insert + self.text[stop:]
         if not n:
-            self._deal([(0, len(self.text))])
-            self.reencoded += len(self.text)
+            self._anew()
             return
         # a cut depends on the characters at its place and on both sides
         first, a = self._leaf_at(max(start - 2, 0))
@@ -89,38 +87,59 @@ class Tree:
         grown = b - a + len(insert) - (stop - start)
         self.reencoded += grown
         average = max(1, n // max(self.used, 1))
-        self._set(first, grown, len(self.tokenizer.ids_from_cut(self.text[a : a + grown])) // 4)
+        self._set(first, grown, self.tokenizer.count(self.text[a : a + grown]))
         for leaf in range(first + 1, last + 1):
             self._set(leaf, 0, 0)
         if grown > 2 * GROWN * max(average, 64):
-            self._deal([(0, len(self.text))])
-            self.reencoded += len(self.text)
+            self._anew()
+
 
+def _leaves(texts: list[str], tokenizer: tokens.SegmentTokenizer):
+    """For each text (its number first) the characters and tokens of its leaves; none for an empty text."""
+    for a, b, part in tokenizer.parts(pa.array(texts, pa.string())):
+        chars, counts = part.chars[part.unit], part.count[part.unit]
+        for i in range(b - a):
+            x, y = part.first[i], part.first[i + 1]
+            at = np.arange(0, y - x if texts[a + i] else 0, LEAF)
+            yield a + i, tuple(np.add.reduceat(v[x:y], at) if len(at) else v[:0] for v in (chars, counts))
 
-COUNTS = "doc_id long, n_tokens long, n_tokens_after long, n_chars_after long, n_edits long, n_leaves long, reencoded_chars long, leaf_tokens array<int>"
+
+COUNTS = "doc_id long, n_tokens long, n_tokens_after long, n_chars_after long, n_edits long, n_leaves long, encoded_chars long, reencoded_chars long, text_after string, leaf_chars array<int>, leaf_tokens array<int>"
 
 
 def apply_edits(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Count each document's tokens, then after its edits; `documents` has doc_id, text and edits (array of start, length, insert, applied in order).
 
-    Null texts count as empty and null edit lists as none; a null insert is empty. Also returned: the tree's leaf counts after the edits, and
-    how many characters edits made the tree encode anew. Strings of special tokens are ordinary text here. Each row is a document of its own.
+    The tree's leaves after the edits come back as leaf_chars and leaf_tokens beside text_after. Given as columns of those names with a later batch of
+    edits, they are taken up again: then only what edits touch is encoded, and encoded_chars, which counts what building trees took, is 0.
+    Leaves that don't add up to the text's length are made anew. reencoded_chars counts what edits made the tree encode.
+
+    Null texts count as empty and null edit lists as none; a null edit and null places are zeros, a null insert is empty. Strings of special
+    tokens are ordinary text here. Each row is a document of its own; an empty table gives none; extra columns are ignored.
     """
+    stored = {"leaf_chars", "leaf_tokens"} <= set(documents.columns)
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+    kinds = [*[pa.int64()] * 8, pa.string(), *[pa.list_(pa.int32())] * 2]
 
     def run(batches):
         tokenizer = tokens.load(tokenizer_path, special_as_text=True)
         for batch in batches:
+            ids, texts, edits, chars, counts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "edits", "leaf_chars", "leaf_tokens"))
+            texts = [t or "" for t in texts]
+            known = [c is not None and k is not None and len(c) == len(k) and None not in c and None not in k and min(c, default=0) >= 0 and sum(c) == len(t) for t, c, k in zip(texts, chars, counts)]
+            fresh = iter(_leaves([t for t, k in zip(texts, known) if not k], tokenizer))
             rows = []
-            for id_, text, edits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "edits"))):
-                tree = Tree(text or "", tokenizer)
+            for i, text in enumerate(texts):
+                tree = Tree(text, tokenizer, (np.array(chars[i], np.int64), np.array(counts[i], np.int64)) if known[i] else next(fresh)[1])
                 first = tree.total
-                for e in edits or []:
+                for e in edits[i] or []:
+                    e = e or {"start": 0, "length": 0, "insert": ""}
                     tree.edit(e["start"] or 0, e["length"] or 0, e["insert"] or "")
-                leaves = tree.tokens[tree.base : tree.base + tree.used]
-                rows.append((id_, first, tree.total, len(tree.text), len(edits or []), len(leaves), tree.reencoded, leaves.tolist()))
-            columns = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in COUNTS.split(", ")])
+                used = slice(tree.base, tree.base + tree.used)
+                rows.append((ids[i], first, tree.total, len(tree.text), len(edits[i] or []), tree.used, 0 if known[i] else len(text), tree.reencoded, tree.text, tree.chars[used], tree.tokens[used]))
+            columns = list(zip(*rows)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast(EDITS).alias("edits"))
+    leaves = [F.col(c).cast("array<int>").alias(c) if stored else F.lit(None).cast("array<int>").alias(c) for c in ("leaf_chars", "leaf_tokens")]
+    kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("edits").cast(EDITS).alias("edits"), *leaves)
     return kept.mapInArrow(run, COUNTS)

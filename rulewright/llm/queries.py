@@ -53,7 +53,7 @@ def sample_edits(documents: DataFrame) -> DataFrame:
 
 
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_counts.apply_edits(sample_edits(table(spark, sf_dir, "documents")), tokenizer_path()).drop("leaf_tokens")
+    return edit_counts.apply_edits(sample_edits(table(spark, sf_dir, "documents")), tokenizer_path()).drop("text_after", "leaf_chars", "leaf_tokens")
 
 
 def toxicity_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> toxicity.Model:
