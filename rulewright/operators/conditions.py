@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.operators import units
@@ -33,6 +33,17 @@ class Evidence:
     fields: dict[str, Column]
     context: dict[str, Column] = field(default_factory=dict)
     min_confidence: float = 0.55
+    #: Paths whose values are integers or doubles, and are compared without going through text.
+    numeric: set[str] = field(default_factory=set)
+
+    def typed(self, frame: DataFrame) -> Evidence:
+        """This evidence with `numeric` filled in from the types that its columns have in `frame`."""
+        values = {p: c["value"] for p, c in self.fields.items()} | self.context
+        kinds = frame.select(*(c.alias(str(i)) for i, c in enumerate(values.values()))).dtypes
+        return Evidence(self.fields, self.context, self.min_confidence, {p for p, (_, k) in zip(values, kinds) if k in ("double", "int", "bigint", "smallint", "tinyint")})
+
+    def _text(self, path: str, value: Column) -> Column:
+        return value if path in self.numeric else value.cast("string")
 
     def cell(self, path: str) -> Column | None:
         return self.fields.get(path)
@@ -48,16 +59,16 @@ class Evidence:
         return F.lit(True)
 
     def observed(self, path: str, least: float | None = None) -> Column:
-        """The value as text where it may be used, else null. Context has no confidence to pass."""
+        """The value, as text unless it is numeric, where it may be used, else null. Context has no confidence to pass."""
         if (cell := self.cell(path)) is not None:
             sure = cell["confidence"].isNull() | (cell["confidence"] >= F.lit(self.min_confidence if least is None else least))
             return F.when(self.usable(path) & self.present(path) & sure, cell["value"])
-        return self.context[path].cast("string") if path in self.context else F.lit(None).cast("string")
+        return self._text(path, self.context[path]) if path in self.context else F.lit(None).cast("string")
 
     def raw(self, path: str) -> Column:
         if (cell := self.cell(path)) is not None:
             return cell["value"]
-        return self.context[path].cast("string") if path in self.context else F.lit(None).cast("string")
+        return self._text(path, self.context[path]) if path in self.context else F.lit(None).cast("string")
 
     def unit(self, path: str) -> Column:
         cell = self.cell(path)

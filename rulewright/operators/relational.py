@@ -65,8 +65,9 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], immutable: li
     same = F.lit(True)
     for c in immutable:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    checked = met.withColumn("_ok", F.when(F.col("_known") & ~same, F.raise_error(F.lit("immutable columns differ"))).otherwise(F.lit(True)))
-    return checked.where(F.col("_known").isNull() & F.col("_ok")).select(*new.columns)
+    # the check is part of the filter, and runs first there for rows whose key is known
+    absent = F.when(F.col("_known") & ~same, F.raise_error(F.lit("immutable columns differ")).cast("boolean")).otherwise(F.col("_known").isNull())
+    return met.where(absent).select(*new.columns)
 
 
 def outer_compare(reference: DataFrame, inspected: DataFrame, keys: list[str], value: str) -> DataFrame:

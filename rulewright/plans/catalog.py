@@ -44,22 +44,22 @@ _LINE_SQL = """SELECT l_orderkey, u.r AS rule_id, u.s AS status, u.sev FROM (SEL
  {'r':'UNIT-PRICE','sev':'major','s':CASE WHEN l_extendedprice/l_quantity BETWEEN 950 AND 2000 THEN 'PASS' ELSE 'FAIL' END}]) u FROM lineitem)"""
 
 
-def _line_results(spark, d):
-    lines = _t(spark, d, "lineitem")
-    e = Evidence({"qty": _cell(F.col("l_quantity"), 1 - F.col("l_tax") * 6)}, {"flag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus"), "discount": F.col("l_discount"), "price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")})
-    return rules.evaluate(lines, "l_orderkey", LINE_RULES, e)
+def _lines(spark, d):
+    quantity = F.struct(F.col("l_quantity").alias("value"), F.lit(None).cast("string").alias("unit"), (1 - F.col("l_tax") * 6).alias("confidence"), F.lit(None).cast("boolean").alias("present"), F.lit(None).cast("boolean").alias("usable"))
+    e = Evidence({"qty": quantity}, {"flag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus"), "discount": F.col("l_discount"), "price": F.col("l_extendedprice"), "quantity": F.col("l_quantity")})
+    return _t(spark, d, "lineitem"), "l_orderkey", LINE_RULES, e
 
 
 @query(f"""SELECT l_orderkey, count(*) FILTER (status='PASS') AS n_pass, count(*) FILTER (status='FAIL') AS n_fail, count(*) FILTER (status='UNCERTAIN') AS n_uncertain,
  count(*) FILTER (status='EXEMPTED') AS n_exempted, count(*) FILTER (status='NOT_APPLICABLE') AS n_not_applicable, CASE WHEN count(*) FILTER (status='FAIL' AND sev='major')>0 OR count(*) FILTER (status='FAIL')>0 THEN 'FAIL'
  WHEN count(*) FILTER (status='UNCERTAIN')>0 THEN 'UNCERTAIN' WHEN count(*) FILTER (status='PASS')>0 THEN 'PASS' ELSE 'NOT_APPLICABLE' END AS overall_status FROM ({_LINE_SQL}) GROUP BY l_orderkey""")
 def rule_status_by_order(spark, d):
-    return rules.overall(_line_results(spark, d), "l_orderkey").select("l_orderkey", "n_pass", "n_fail", "n_uncertain", "n_exempted", "n_not_applicable", "overall_status")
+    return rules.overall_of_subjects(*_lines(spark, d)).select("l_orderkey", "n_pass", "n_fail", "n_uncertain", "n_exempted", "n_not_applicable", "overall_status")
 
 
 @query(f"SELECT rule_id, status, count(*) AS n FROM ({_LINE_SQL}) GROUP BY ALL")
 def rule_status_counts(spark, d):
-    return _line_results(spark, d).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
+    return rules.evaluate(*_lines(spark, d)).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT a, b, CASE WHEN a=0 OR b=0 THEN 0 WHEN a=2 OR b=2 THEN 2 ELSE 1 END AS k_and, CASE WHEN a=1 OR b=1 THEN 1 WHEN a=2 OR b=2 THEN 2 ELSE 0 END AS k_or, CASE a WHEN 2 THEN 2 ELSE 1-a END AS k_not
