@@ -1,18 +1,21 @@
 """Operator 7: toxicity by two class-conditional Kneser-Ney word models.
 
-Word and word-pair counts are kept by class. A class's pair model discounts its own counts and backs
-off to its word model, which discounts the class's continuation counts (in how many different
-contexts a word occurs) and backs off to those of both classes together. An expression whose counts don't tell
-the classes apart is left to those shared counts alone, which favour neither class; a rare word is
-smoothed by the words that begin like it. A text's score compares its log-likelihoods under the two
-models, normalised by length, through a logistic curve fitted on labelled rows that the counts
-leave out.
+Each class has a model of word pairs: absolute discounting of its pair counts, backing off to its words,
+whose counts are continuation counts (in how many different contexts a word occurs), discounted in turn.
+What the word models discount goes, as Kneser-Ney smoothing has it, to a distribution made of the discounted
+counts themselves, those of both classes together. So an expression that is rare in both classes is left to
+the shared counts, which favour neither; no word or pair that is counted is left out.
+
+A text's score compares its log-likelihoods under both models, normalised by its words and by their square
+root, as a whole and of the words that alone favour toxic by over one nat, through a logistic curve fitted
+on labelled rows that the counts leave out: a language's share in the classes shifts all its words a little.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -25,36 +28,36 @@ from rulewright.llm.decontaminate import alnum_words
 from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
 
 
-#: Bytes of a word's beginning that words without counts of their own back off to.
-STEM = 5
-#: Least log ratio of a stem that is used: stems are shared by many words, so weak ones only add noise.
-STEM_RATIO = 3.0
+#: Log ratio, in nats, beyond which a word is strong evidence.
+STRONG = 1.0
+FEATURES = 4
 
 
 @dataclass
 class Model:
-    word: dict[bytes, float]  # log ratio, toxic to ordinary, of words
-    stem: dict[bytes, float]  # of words' beginnings, for words without a ratio
-    pair: dict[tuple[bytes, bytes], float]  # of word pairs, backed off already
-    curve: np.ndarray  # coefficients of the two normalised differences, and intercept
+    """Log ratios, toxic to ordinary. Words and pairs that aren't named are discounted wholly in both classes: they have the ratio of the backoff."""
 
-    def ratios(self, text: str | None) -> tuple[float, float]:
-        """Log-likelihood difference a word, and a square root of words. Both 0 for a text without words."""
+    word: dict[bytes, float]  # of words' probabilities
+    other: float  # of any other word
+    context: dict[bytes, float]  # of the masses that contexts leave to words
+    pair: dict[tuple[bytes, bytes], float]  # of pairs' whole probabilities
+    curve: np.ndarray  # coefficients of the features, and intercept
+
+    def features(self, text: str | None) -> list[float]:
+        """Log-likelihood difference a word and a square root of words, of all words and of strong evidence. All 0 for a text without words."""
         words = alnum_words(text)
         if not words:
-            return 0.0, 0.0
-        total, word, pair = 0.0, self.word, self.pair
-        stem = self.stem.get
-        single = [x if (x := word.get(w)) is not None else stem(w[:STEM], 0.0) for w in words]
-        if pair:
-            total = sum([pair.get(p, s) for p, s in zip(zip([b"", *words], words), single)])
-        else:
-            total = sum(single)
-        return total / len(words), total / len(words) ** 0.5
+            return [0.0] * FEATURES
+        word, context, pair, other = self.word.get, self.context.get, self.pair.get, self.other
+        ratios = [word(w, other) for w in words]
+        if self.context:
+            ratios = [r + c if (x := pair((v, w))) is None else x for v, w, r, c in zip([b"", *words], words, ratios, map(context, [b"", *words], repeat(0.0)))]
+        total, strong, n = sum(ratios), sum(r - STRONG for r in ratios if r > STRONG), len(words)
+        return [total / n, total / n**0.5, strong / n, strong / n**0.5]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.ratios(t) for t in texts], float).reshape(-1, 2)
-        return sigmoid(x @ self.curve[:2] + self.curve[2])
+        x = np.array([self.features(t) for t in texts], float).reshape(-1, FEATURES)
+        return sigmoid(x @ self.curve[:-1] + self.curve[-1])
 
 
 def _pair_counts(batches):
@@ -74,59 +77,53 @@ def _pair_counts(batches):
         )
 
 
-def _differ(ordinary, toxic, all_ordinary: float, all_toxic: float):
-    """Whether counts differ between the classes beyond chance (three standard deviations); other expressions are left to the shared counts, which favour neither."""
-    expected = (ordinary + toxic) * all_toxic / (all_ordinary + all_toxic)
-    spread = np.sqrt(np.maximum(expected * all_ordinary / (all_ordinary + all_toxic), 1e-9))
-    return (np.abs(toxic - expected) >= 3 * spread) & (np.abs(toxic - expected) >= 1.5)
-
-
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, min_count: int = 3, min_pair: int = 8, discount: float = 0.75) -> Model:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, word_discount: float = 4.0, pair_discount: float = 30.0) -> Model:
     """Fit on documents (doc_id, text) with labels (doc_id, toxic 0/1), of which about `max_rows` rows at most are used, half of each class.
 
-    Words seen fewer than `min_count` times (pairs: `min_pair`) get no ratio of their own, which keeps
-    the model to the sample's words / min_count. Other labels than 0 and 1 are ignored. With only one
-    class, every text gets that class's share.
+    Other labels than 0 and 1 are ignored. With only one class, every text gets that class's share. The model has the sample's words / word_discount
+    words at most. The discounts are large, as words and pairs of one text, language or copy come together: a few more in one class say nothing.
     """
     sample, weight = labelled_texts(documents, labels, "toxic", max_rows)
     sample = cut_lineage(sample)
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4))
     pairs = cut_lineage(sample.where(part > 0).select("text", "toxic").mapInArrow(_pair_counts, "v binary, w binary, ordinary long, toxic long").groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    # in how many contexts a word occurs in each class, and in both together: copies of a text add none
-    words = pairs.groupBy("w").agg(F.count_if(F.col("ordinary") > 0).alias("o"), F.count_if(F.col("toxic") > 0).alias("t"), F.count("*").alias("contexts"))
-    n_o, n_t, types_o, types_t, contexts = (float(x or 0) for x in words.agg(F.sum("o"), F.sum("t"), F.count_if(F.col("o") > 0), F.count_if(F.col("t") > 0), F.sum("contexts")).first())
-    model = Model({}, {}, {}, np.array([0.0, 0.0, -40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
+    words = pairs.groupBy("w").agg(F.count_if(F.col("ordinary") > 0).alias("o"), F.count_if(F.col("toxic") > 0).alias("t"))
+    cut = lambda c, d: F.least(F.col(c), F.lit(d))
+    n_o, n_t, left_o, left_t = (float(x or 0) for x in words.agg(F.sum("o"), F.sum("t"), F.sum(cut("o", word_discount)), F.sum(cut("t", word_discount))).first())
+    model = Model({}, 0.0, {}, {}, np.array([0.0] * FEATURES + [-40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
     if not n_o or not n_t:
         return model
-    kept = words.where(F.col("o") + F.col("t") >= min_count).toArrow()
-    w, o, t, c = (kept.column(i).to_pylist() if i == 0 else kept.column(i).to_numpy().astype(float) for i in range(4))
-    shared = c / contexts
-    p_o = (np.maximum(o - discount, 0) + discount * types_o * shared) / n_o
-    p_t = (np.maximum(t - discount, 0) + discount * types_t * shared) / n_t
-    model.word = {k: x for k, x, differs in zip(w, np.log(p_t / p_o).tolist(), _differ(o, t, n_o, n_t)) if differs}
-    stems = words.where(F.length("w") > STEM).groupBy(F.substring("w", 1, STEM).alias("s")).agg(F.sum("o").alias("o"), F.sum("t").alias("t")).where(F.col("o") + F.col("t") >= min_count).toArrow()
-    s_o, s_t = (stems.column(i).to_numpy().astype(float) for i in (1, 2))
-    back = np.log(((s_t + discount) / n_t) / ((s_o + discount) / n_o))
-    model.stem = {k: x for k, x, differs in zip(stems.column(0).to_pylist(), back.tolist(), _differ(s_o, s_t, n_o, n_t)) if differs and abs(x) >= STEM_RATIO}
-    of = {k: (a, b) for k, a, b in zip(w, p_o.tolist(), p_t.tolist())}
-    context = pairs.groupBy("v").agg(F.sum("ordinary").alias("vo"), F.sum("toxic").alias("vt"), F.count_if(F.col("ordinary") > 0).alias("to"), F.count_if(F.col("toxic") > 0).alias("tt"))
-    often = pairs.where(F.col("ordinary") + F.col("toxic") >= min_pair).join(context, "v").where("vo > 0 and vt > 0").toArrow()
-    for r in often.to_pylist():
-        if r["w"] not in model.word or not _differ(r["ordinary"], r["toxic"], r["vo"], r["vt"]):
-            continue
-        q_o, q_t = of[r["w"]]
-        a = (max(r["ordinary"] - discount, 0) + discount * r["to"] * q_o) / r["vo"]
-        b = (max(r["toxic"] - discount, 0) + discount * r["tt"] * q_t) / r["vt"]
-        model.pair[r["v"], r["w"]] = float(np.log(b / a))
+    model.other = float(np.log((left_t / n_t) / (left_o / n_o)))
+
+    def word_probabilities(o: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        shared = (np.minimum(o, word_discount) + np.minimum(t, word_discount)) / (left_o + left_t)
+        return [(np.maximum(c - word_discount, 0) + left * shared) / n for c, left, n in ((o, left_o, n_o), (t, left_t, n_t))]
+
+    def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+        return [table.column(c).to_numpy().astype(float) for c in names]
+
+    often = words.where((F.col("o") > word_discount) | (F.col("t") > word_discount)).toArrow()
+    q_o, q_t = word_probabilities(*numbers(often, "o", "t"))
+    model.word = dict(zip(often.column("w").to_pylist(), np.log(q_t / q_o).tolist()))
+    context = pairs.groupBy("v").agg(F.sum("ordinary").alias("vo"), F.sum("toxic").alias("vt"), F.sum(cut("ordinary", pair_discount)).alias("mo"), F.sum(cut("toxic", pair_discount)).alias("mt")).where("mo < vo or mt < vt")
+    mass = lambda m, v: np.where(v > 0, m / np.maximum(v, 1), 1.0)
+    contexts = context.toArrow()
+    vo, vt, mo, mt = numbers(contexts, "vo", "vt", "mo", "mt")
+    model.context = dict(zip(contexts.column("v").to_pylist(), np.log(mass(mt, vt) / mass(mo, vo)).tolist()))
+    met = pairs.where((F.col("ordinary") > pair_discount) | (F.col("toxic") > pair_discount)).join(context, "v").join(words, "w").toArrow()
+    c_o, c_t, vo, vt, mo, mt, o, t = numbers(met, "ordinary", "toxic", "vo", "vt", "mo", "mt", "o", "t")
+    q_o, q_t = word_probabilities(o, t)
+    p_o, p_t = (np.maximum(c - pair_discount, 0) / np.maximum(v, 1) + mass(m, v) * q for c, v, m, q in ((c_o, vo, mo, q_o), (c_t, vt, mt, q_t)))
+    model.pair = dict(zip(zip(met.column("v").to_pylist(), met.column("w").to_pylist()), np.log(p_t / p_o).tolist()))
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
         for batch in batches:
-            x = np.array([sent.value.ratios(t) for t in batch.column("text").to_pylist()], float).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("toxic")], names=["a", "b", "toxic"])
+            found = pa.array([sent.value.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([found, batch.column("toxic")], names=["x", "toxic"])
 
-    left = sample.where(part == 0).select("text", "toxic").mapInArrow(measure, "a double, b double, toxic int").toArrow()
-    x, y = np.column_stack([left.column(i).to_numpy() for i in (0, 1)]), left.column(2).to_numpy()
+    left = sample.where(part == 0).select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()
+    x, y = np.array(left.column(0).to_pylist(), float).reshape(-1, FEATURES), left.column(1).to_numpy()
     if len(x):
         model.curve = logistic_fit(x, y, np.array([weight[k] for k in y.tolist()]))
     return model
@@ -149,5 +146,5 @@ def score_column(documents: DataFrame, model: Model) -> Column:
 
 
 def keep_ordinary(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns kept, whose score is below `threshold`."""
+    """The documents, all columns kept, whose score is below `threshold`. Null and empty texts are scored as no words; repeated rows each go or stay alike."""
     return documents.where(score_column(documents, model) < threshold)
