@@ -2,13 +2,17 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. There are at most 3 ** rules
 different vote patterns, so documents are counted by pattern first, and expectation-maximisation
-over that small table estimates each rule's accuracy on good and on bad documents, given the share of
-good ones. A document's verdict is its posterior probability of being good.
+over that small table estimates how often each rule casts each vote on good documents and on bad ones.
+Bad documents are of several kinds, one for each rule that can find a defect: defects that never meet
+would else pass for a trait of good documents. The shares of good documents and of each kind are
+estimated too. A document's verdict is its posterior probability of being good: a bad vote that the
+other votes speak against can be outvoted, and a document without one can fail.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,12 +82,12 @@ def _vote(bad: Column | None = None, good: Column | None = None) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The votes over statistics(). A rule that looks for one defect abstains where it finds none: that doesn't make a text good."""
+    """The votes over statistics(). A rule that looks for one defect abstains where it finds none: that doesn't make a text good. In a short text one phrase said twice is a large share, so repetition abstains there."""
     n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "length": _vote(good=n >= 2 * MIN_WORDS),
         "symbols": _vote(10 * F.col("n_symbols") > n),
-        "repetition": _vote(100 * F.col("n_repeat_words") > 30 * n),
+        "repetition": _vote((100 * F.col("n_repeat_words") > 30 * n) & (n >= 2 * MIN_WORDS)),
         "lines": _vote((F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
         "capitals": _vote(100 * F.col("n_upper") > 30 * chars),
         "exclaim": _vote(10 * F.col("n_exclaim") > n),
@@ -92,56 +96,88 @@ def rules() -> dict[str, Column]:
     }
 
 
-#: Prior shares of documents that a rule votes bad and good on, among bad and among good documents: defects differ, so a bad
-#: document gets a bad vote from few rules, while good documents hardly get any.
-PRIOR = {"bad": {-1: 0.25, 1: 0.5}, "good": {-1: 0.003, 1: 0.7}}
-#: What the priors weigh, as shares of all documents.
-STRENGTH = {"bad": 0.01, "good": 0.2}
-#: A rule's bad votes on good documents are at most this share: else kinds of defects that never meet could pass for a trait of good documents.
-MOST_FALSE = 0.005
-#: A good vote is at most this many times as likely on a good document: looking sound in one respect rules out no defect in another.
-MOST_MERIT = 1.3
+#: The rules that vote bad, by place.
+FINDERS = [1, 2, 3, 4, 5, 6, 7]
+#: Where estimation starts: how often a rule votes bad and good on bad documents of its own kind, and on all others, which are alike until data tell.
+START = {"own": {-1: 0.9, 1: 0.03}, "other": {-1: 0.005, 1: 0.6}}
+#: A kind is of documents on which its rule votes bad at least so often: that defines it, and so keeps it from turning into another.
+FOUND = 0.8
+#: The share of good documents it starts from, and what the start weighs against the data, in documents: for false alarms, as nothing else tells
+#: those on good documents from a kind of their own, and for all else.
+SHARE, ALARM_WEIGHT, WEIGHT = 0.8, 50.0, 1.0
+VOTES = (-1, 0, 1)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, share: float, rounds: int = 100, tolerance: float = 1e-7) -> list[dict]:
-    """How often each rule votes good and bad in each class, from vote patterns and their counts by expectation-maximisation.
+def _outcomes(start: dict) -> dict[int, float]:
+    return {v: start.get(v, 1 - sum(start.values())) for v in VOTES}
 
-    Abstaining says nothing. The share of good documents is given, as votes of rules that mostly abstain don't settle it. There
-    are at most 3 ** n_rules patterns whatever the number of documents. With no patterns the priors are returned.
+
+@dataclass
+class Estimate:
+    """Of good documents (first) and each kind of bad ones: their share, and each rule's votes."""
+
+    shares: list[float]
+    rates: list[list[dict[int, float]]]
+
+    def log_odds(self, votes: tuple[int, ...]) -> list[float]:
+        return [math.log(share) + sum(math.log(r[v]) for v, r in zip(votes, rates)) for share, rates in zip(self.shares, self.rates)]
+
+    def posteriors(self, votes: tuple[int, ...]) -> list[float]:
+        logs = self.log_odds(votes)
+        most = max(logs)
+        parts = [math.exp(x - most) for x in logs]
+        return [x / sum(parts) for x in parts]
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], finders: list[int], n_rules: int, rounds: int = 2000, tolerance: float = 1e-9) -> Estimate:
+    """Shares and vote rates by expectation-maximisation over vote patterns and their counts; `finders` are the rules that can find a defect.
+
+    Start values weigh as much as ALARM_WEIGHT or WEIGHT documents, whatever the number of documents; with no patterns they are returned.
     """
-    rates = [{k: dict(v) for k, v in PRIOR.items()}] * n_rules
-    total, old = sum(n for _, n in patterns), -1.0
+    own, other = (_outcomes(START[k]) for k in ("own", "other"))
+    start = Estimate([SHARE, *[(1 - SHARE) / max(len(finders), 1)] * len(finders)], [[other] * n_rules, *([own if r == k else other for r in range(n_rules)] for k in finders)])
+    now, total, before = start, sum(n for _, n in patterns), -math.inf
     for _ in range(rounds if total else 0):
-        good, sums = 0.0, [{k: {-1: 0.0, 1: 0.0} for k in PRIOR} for _ in range(n_rules)]
+        weights = [WEIGHT * len(start.shares) * x for x in start.shares]
+        votes_of = [[{v: WEIGHT * p for v, p in r.items()} for r in rates] for rates in start.rates]
+        fit = 0.0
         for votes, n in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(r["good"][v] / r["bad"][v]) for v, r in zip(votes, rates) if v)
-            p = 1 / (1 + math.exp(-max(min(odds, 500), -500)))
-            good += n * p
-            for v, s in zip(votes, sums):
-                if v:
-                    s["good"][v] += n * p
-                    s["bad"][v] += n * (1 - p)
-        weight = {"good": good, "bad": total - good}
-        rates = [{k: {v: (x + (2 + STRENGTH[k] * total) * PRIOR[k][v]) / (weight[k] + 2 + STRENGTH[k] * total) for v, x in of.items()} for k, of in s.items()} for s in sums]
-        for r in rates:
-            r["good"][-1] = min(r["good"][-1], MOST_FALSE)
-            r["bad"][1] = max(r["bad"][1], r["good"][1] / MOST_MERIT)
-        if abs(good - old) < tolerance * total:
+            logs = now.log_odds(votes)
+            most = max(logs)
+            parts = [math.exp(x - most) for x in logs]
+            fit += n * (most + math.log(sum(parts)))
+            for c, x in enumerate(parts):
+                x *= n / sum(parts)
+                weights[c] += x
+                for r, v in enumerate(votes):
+                    votes_of[c][r][v] += x
+        now = Estimate([w / sum(weights) for w in weights], [[{v: x / sum(r.values()) for v, x in r.items()} for r in rates] for rates in votes_of])
+        for r, s in zip(now.rates[0], start.rates[0]):
+            alarm = (r[-1] * weights[0] + s[-1] * ALARM_WEIGHT) / (weights[0] + ALARM_WEIGHT)
+            r.update({v: alarm if v < 0 else r[v] * (1 - alarm) / (1 - r[-1]) for v in (0, 1, -1)})
+        for k, rates in zip(finders, now.rates[1:]):
+            found, merit = max(rates[k][-1], FOUND), min(rates[k][1], START["own"][1])
+            rates[k] = {-1: found, 0: max(1 - found - merit, 1e-9), 1: merit}
+        if fit - before < tolerance * total:
             break
-        old = good
-    return rates
+        before = fit
+    return now
 
 
-def posterior(votes: list[str], share: float, rates: list[dict]) -> Column:
+def posterior(votes: list[str], found: Estimate) -> Column:
     """Probability of good, as a Column over the vote columns."""
-    odds = F.lit(math.log(share / (1 - share)))
-    for v, r in zip(votes, rates):
-        weight = {k: math.log(r["good"][k] / r["bad"][k]) for k in (-1, 1)}
-        odds += F.when(F.col(v) == 1, weight[1]).when(F.col(v) == -1, weight[-1]).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+
+    def log_odds(share: float, rates: list[dict[int, float]]) -> Column:
+        logs = F.lit(math.log(share))
+        for v, r in zip(votes, rates):
+            logs += F.when(F.col(v) == 1, math.log(r[1])).when(F.col(v) == -1, math.log(r[-1])).otherwise(math.log(r[0]))
+        return logs
+
+    classes = F.array(*(log_odds(*x) for x in zip(found.shares, found.rates)))
+    return _bind(classes, lambda logs: 1 / F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(F.least(x - F.get(logs, F.lit(0)), F.lit(700.0)))))
 
 
-def judge(documents: DataFrame, threshold: float = 0.5, share_good: float = 0.85) -> DataFrame:
+def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """statistics() with base_failed, posterior (of being good) and kept for every row.
 
     base_failed: fewer than 50 words, or over half of the words repeated. kept: not base_failed and a
@@ -154,7 +190,7 @@ def judge(documents: DataFrame, threshold: float = 0.5, share_good: float = 0.85
     voted = stats.withColumns({f"vote_{k}": v for k, v in named.items()})
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()]
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = voted.withColumn("base_failed", failed).withColumn("posterior", posterior(votes, share_good, estimate(patterns, len(votes), share_good)))
+    judged = voted.withColumn("base_failed", failed).withColumn("posterior", posterior(votes, estimate(patterns, FINDERS, len(votes))))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*votes)
 
 

@@ -5,7 +5,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -157,41 +157,69 @@ def test_keep_first(spark, docs):
     assert simhash.keep_first(docs).columns == docs.columns
 
 
-def test_suffix_tree(spark, docs, none):
-    train = docs.where("doc_id % 3 != 0")
-    tree, unigrams = suffix_tree.train(train, min_context=0.001, min_joint=0.001)
-    count = Counter()
-    for i, t, *_ in awkward():
-        if i is not None and i % 3:
-            count.update([*as_words(t), 0])
-    n, v = sum(count.values()), len(count)
-    assert (tree.total, tree.types) == (n, v)
-    got = suffix_tree.score(docs, tree, unigrams).collect()
-    want = []
-    for i, t, *_ in awkward():
-        w = [*as_words(t), 0]
-        want.append((i, len(w), sum(x in count for x in w), n, round(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), 6)))
-    assert key((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == key(want)
-    assert all(r["score"] < 0 for r in got)
-    # every state's distribution sums to one over known words and the unknown symbol
-    every = np.concatenate((tree.root, [tree.unknown])) if not (unigrams.count() - len(tree.words)) else None
-    rest = [r["n"] for r in unigrams.collect() if np.array([r["k"]], np.int64).view(np.uint64)[0] not in set(tree.words.tolist())]
-    total = tree.root.sum() + sum((x - tree.discount) / tree.total for x in rest) + tree.unknown
-    assert abs(total - 1) < 1e-9 and (every is None or abs(every.sum() - 1) < 1e-9)
-    for level in tree.levels:
-        given = np.bincount(level.entry // len(tree.words), level.share, minlength=len(level.key))
-        assert np.allclose(given + level.rest, 1)
-    empty, counts = suffix_tree.train(none)
-    assert suffix_tree.score(docs, empty, counts).count() == len(awkward())
-    assert suffix_tree.score(none, tree, unigrams).count() == 0
+def brute_suffix_tree(rows, depth, gain=0.02, discount=0.75):
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of rows (doc_id, text, learn), context by context."""
+    end, start = object(), object()
+    texts = [(i, learn, [*as_words(t), end]) for i, t, learn in rows]
+    count = Counter(w for _, learn, t in texts if learn for w in t)
+    n, v, once, twice = sum(count.values()), len(count), sum(x == 1 for x in count.values()), sum(x == 2 for x in count.values())
+    cut = once / (once + 2 * twice) if once and twice else 0.5
+    context = lambda t, j, d: tuple(t[j - k] if j >= k else start for k in range(1, d + 1))
+    follow, kept = defaultdict(Counter), {}
+    for _, learn, t in texts:
+        for j, w in enumerate(t if learn else []):
+            for d in range(1, depth + 1):
+                follow[context(t, j, d)][w] += 1
+
+    def p(c, w):
+        if not c:
+            return (count[w] - cut) / n if count[w] else cut * v / n if n else 1.0
+        if not kept.get(c):
+            return p(c[:-1], w)
+        total = sum(follow[c].values())
+        return max(follow[c][w] - discount, 0) / total + discount * len(follow[c]) / total * p(c[:-1], w)
+
+    for c in sorted(follow, key=len):
+        total, won = sum(follow[c].values()), 0.0
+        for w, k in follow[c].items():
+            parent = p(c[:-1], w)
+            without = (max(k - 1 - discount, 0) + discount * (len(follow[c]) - (k == 1)) * parent) / (total - 1) if total > 1 else parent
+            won += k * math.log(max(without, 1e-300) / parent)
+        kept[c] = won >= gain * total
+    return [(i, len(t), sum(count[w] > 0 for w in t), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(context(t, j, depth), w)) for j, w in enumerate(t))) for i, _, t in texts]
+
+
+def same_scores(got, want, score=True):
+    got, want = (sorted(x, key=lambda r: (repr(r[0]), r[1], r[4], r[5])) for x in (map(tuple, got), want))
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert all(abs(a[4] - b[4]) < 1e-6 * (1 - b[4]) and (not score or abs(a[5] - b[5]) < 1e-5 * (1 - b[5])) for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_suffix_tree(spark, docs, none, depth):
+    r = random.Random(3)
+    vocabulary = [f"W{int(r.paretovariate(0.7))}" for _ in range(400)]
+    rows = [(i, t, i is None or i % 3 > 0) for i, t, *_ in awkward() if i not in (8, 9)] + [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))), i % 3 > 0) for i in range(100, 160)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+    want = brute_suffix_tree(rows, depth)
+    same_scores(suffix_tree.score(frame, F.col("learn"), depth=depth, hot_share=1.0).collect(), want)
+    # many buckets, and hot contexts, which are always retained, so scores differ a little
+    hot = suffix_tree.score(frame, F.col("learn"), depth=depth, capacity=100, min_joint=0.0).collect()
+    same_scores(hot, want, score=False)
+    assert abs(sum(x["score"] for x in hot) / sum(x[5] for x in want) - 1) < 0.05
+
+
+def test_suffix_tree_without_training(spark, docs, none):
+    got = suffix_tree.score(docs, F.lit(False)).collect()
+    assert len(got) == len(awkward()) and {(x["n_known"], x["train_tokens"], x["score"]) for x in got} == {(0, 0, 0.0)}
+    assert suffix_tree.score(none, F.lit(True)).count() == 0
 
 
 def test_suffix_tree_learns_contexts(spark):
     r = random.Random(2)
     texts = [(i, " ".join(x for _ in range(40) for x in (("left", "shoe") if r.random() < 0.5 else ("right", "glove")))) for i in range(60)]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
-    tree, unigrams = suffix_tree.train(frame.where("doc_id < 50"))
-    for row in suffix_tree.score(frame.where("doc_id >= 50"), tree, unigrams).collect():
+    for row in suffix_tree.score(frame, F.col("doc_id") < 50).where("doc_id >= 50").collect():
         assert row["score"] > 0.7 * row["base_score"]
 
 
@@ -252,9 +280,30 @@ def test_quality_statistics(spark, docs, none):
 
 def test_expectation_maximisation_separates_defects_that_never_meet():
     patterns = [((1, 0, 0, 1), 9000), ((1, -1, 0, 1), 500), ((1, 0, -1, 0), 300), ((0, 0, 0, 1), 1000)]
-    rates = quality_rules.estimate(patterns, 4, 0.85)
-    assert all(r["good"][-1] <= quality_rules.MOST_FALSE for r in rates)
-    assert rates[1]["bad"][-1] > 10 * rates[1]["good"][-1] and rates[2]["bad"][-1] > 10 * rates[2]["good"][-1]
+    found = quality_rules.estimate(patterns, [1, 2], 4)
+    good = {v: found.posteriors(v)[0] for v, _ in patterns}
+    assert good[1, 0, 0, 1] > 0.9 and good[0, 0, 0, 1] > 0.9 and good[1, -1, 0, 1] < 0.1 and good[1, 0, -1, 0] < 0.1
+    assert abs(found.shares[0] - 10000 / 10800) < 0.02
+
+
+def test_votes_are_weighed_by_what_the_data_say_of_them():
+    # a rule whose bad votes come with others' mostly, and now and then alone on texts that all else speaks for
+    patterns = [((1, 0, 0, 1), 9000), ((0, -1, -1, 0), 900), ((0, -1, 0, 0), 300), ((0, 0, -1, 0), 300), ((1, -1, 0, 1), 30), ((0, 0, 0, 0), 60)]
+    found = quality_rules.estimate(patterns, [1, 2], 4)
+    assert found.posteriors((1, -1, 0, 1))[0] > 0.9  # kept in spite of a bad vote
+    assert found.posteriors((0, 0, 0, 0))[0] < 0.1  # lost without one
+    # the same votes among other data have another verdict
+    other = quality_rules.estimate([((1, 0, 0, 1), 9000), ((1, -1, 0, 1), 900), ((0, 0, 0, 0), 900)], [1, 2], 4)
+    assert other.posteriors((1, -1, 0, 1))[0] < 0.1 and other.posteriors((0, 0, 0, 0))[0] > 0.5
+    # nothing to learn from: where estimation starts
+    assert quality_rules.estimate([], [1, 2], 4).shares == [0.8, 0.09999999999999998, 0.09999999999999998]
+
+
+def test_posterior_column_equals_python(spark):
+    found = quality_rules.estimate([((1, 0, -1), 40), ((1, 0, 0), 400), ((0, -1, 0), 30)], [1, 2], 3)
+    votes = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    rows = spark.createDataFrame(votes, "a int, b int, c int").withColumn("p", quality_rules.posterior(["a", "b", "c"], found)).collect()
+    assert all(abs(r["p"] - found.posteriors((r["a"], r["b"], r["c"]))[0]) < 1e-12 for r in rows)
 
 
 def test_edit_counts(spark, docs, none):
