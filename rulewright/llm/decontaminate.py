@@ -1,12 +1,15 @@
 """Operator 4: benchmark decontamination with suffix arrays over the training text.
 
 Each shard (an Arrow batch of documents) gets a word-level suffix array: its suffixes in the order
-of their first `window` words. Every benchmark suffix is looked up in it by binary search, which
-gives the places that share the suffix's window, and from there the longest verbatim match. Words
-that no benchmark text has end a run, and a suffix enters the array only if its run is long enough
-for some window that begins with the same word: others can't match.
-
-The benchmark is sent to the tasks in blocks of at most `block_words` words.
+of their first `window` words. Every distinct window of the benchmark is looked up in it by binary
+search, which gives the places that share it; a place has at most one window of each length, so hits
+grow with the text whatever repeats. Words that no benchmark text has end a run, and a suffix enters
+the array only if its run is long enough for some window that begins with the same word: others can't
+match. For the longest verbatim matches, suffixes at the hits and those of the items hit are put in
+their whole order together, by doubling the words compared; a suffix's longest match is with a
+neighbour there.
+
+The benchmark is sent to the tasks in blocks of about `block_words` words, one after another.
 """
 
 from __future__ import annotations
@@ -16,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.llm.common import row_key, without_rows
+from rulewright.llm import tokens
+from rulewright.llm.common import row_key, without_rows, written
 
 #: Bytes of a lower-cased text that separate words: ASCII other than 0-9 and a-z (A-Z become a-z).
 _SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -30,31 +34,41 @@ def alnum_words(text: str | None) -> list[bytes]:
 
 
 class TestSuffixes:
-    """A block of the benchmark: word numbers from 1, and every suffix that starts a window."""
+    """A block of the benchmark: word numbers from 1, and its distinct windows."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
-        self.window, self.number = window, {}
-        rows, self.item, self.words, self.need = [], [], [], {}
-        for item, words in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if ids else 0):
-                self.item.append(item)
-                self.words.append(np.array(ids[at:], np.int32))
-                rows.append(ids[at : at + size])
-                self.need[ids[at]] = min(self.need.get(ids[at], size), size)
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.low, self.high = (self._keys([r + [fill] * (window - len(r)) for r in rows]) for fill in (0, 2**31 - 1))
+        self.window, self.number, self.items = window, {}, [item for item, _ in items]
+        ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int32) for _, words in items]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self.flat = np.concatenate([*ids, np.zeros(window, np.int32)])
+        self.first = np.cumsum(sizes) - sizes
+        # every window: the item and place where it starts, and its words, padded
+        least = np.minimum(sizes, window)
+        count = np.where(sizes > 0, sizes - least + 1, 0)
+        self.item = np.repeat(np.arange(len(items)), count)
+        self.place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.first[self.item]
+        size = least[self.item]
+        rows = self.flat[self.place[:, None] + np.arange(window)] if len(self.place) else np.zeros((0, window), np.int32)
+        beyond = np.arange(window) >= size[:, None]
+        keys, self.key = np.unique(_keys(np.where(beyond, 0, rows)), return_inverse=True)
+        where = np.zeros(len(keys), np.int64)
+        where[self.key] = np.arange(len(self.key))
+        self.size = size[where]
+        self.low, self.high = keys, _keys(np.where(beyond, 2**31 - 1, rows)[where])
+        # items of each distinct window
+        pairs = np.unique(np.stack((self.key, self.item), axis=1), axis=0) if len(self.key) else np.zeros((0, 2), np.int64)
+        self.bounds, self.items_of = np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1]
         self.least = np.full(len(self.number) + 1, 2**31 - 1, np.int64)
-        for k, v in self.need.items():
-            self.least[k] = v
+        np.minimum.at(self.least, rows[:, 0], size)
+
 
-    def _keys(self, rows: list[list[int]]) -> np.ndarray:
-        return np.array(rows, ">i4").reshape(-1, self.window).view(f"S{4 * self.window}").ravel()
+def _keys(rows: np.ndarray) -> np.ndarray:
+    """Rows of word numbers as byte strings in the same order."""
+    return np.ascontiguousarray(rows.astype(">i4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
 def _shard_matches(texts: list[str | None], test: TestSuffixes):
-    """Word counts of the texts, and arrays (doc, start, suffix): where the window of a test suffix occurs."""
+    """Word counts of the texts, arrays (doc, start, window): where each distinct window of the benchmark occurs, the texts' word numbers and first words."""
     get, window = test.number.get, test.window
     counts, ids = [], []
     for text in texts:
@@ -71,7 +85,7 @@ def _shard_matches(texts: list[str | None], test: TestSuffixes):
     padded = np.concatenate((flat, np.zeros(window, np.int32)))
     keys = padded[place[:, None] + np.arange(window)]
     keys[np.logical_or.accumulate(keys == 0, axis=1)] = 0  # a run ends the key
-    keys = np.ascontiguousarray(keys.astype(">i4")).view(f"S{4 * window}").ravel()
+    keys = _keys(keys)
     order = np.argsort(keys, kind="stable")
     suffixes, place = keys[order], place[order]  # the shard's suffix array
     lo = np.searchsorted(suffixes, test.low, "left")
@@ -84,6 +98,41 @@ def _shard_matches(texts: list[str | None], test: TestSuffixes):
     return counts, doc, at - first[doc], which, flat, first
 
 
+def _suffix_ranks(words: np.ndarray) -> list[np.ndarray]:
+    """Ranks of all suffixes by their first 1, 2, 4 … words, until a run's end; a 0 in `words` equals nothing, itself included."""
+    ends = words == 0
+    at = np.append(np.nonzero(ends)[0], len(words))
+    longest = int(np.diff(np.append(-1, at)).max())
+    rank = np.where(ends, words.max(initial=0) + 1 + np.arange(len(words)), words).astype(np.int64)
+    rank = np.unique(rank, return_inverse=True)[1]
+    out, step = [rank], 1
+    while step < longest:
+        after = np.zeros(len(words), np.int64)
+        after[: len(words) - step] = rank[step:] + 1
+        rank = np.unique(rank * (len(words) + 1) + after, return_inverse=True)[1]
+        out.append(rank)
+        step *= 2
+    return out
+
+
+def _longest_matches(words: np.ndarray, places: np.ndarray, tests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `places` in `words` the most words that it shares with one of the places `tests`, and which of these that is."""
+    ranks = _suffix_ranks(words)
+    test_order = tests[np.argsort(ranks[-1][tests], kind="stable")]
+    at = np.searchsorted(ranks[-1][test_order], ranks[-1][places])
+    best, which = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for near in (np.minimum(at, len(test_order) - 1), np.maximum(at - 1, 0)):
+        mine, theirs, shared = places.copy(), test_order[near].copy(), np.zeros(len(places), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            inside = np.maximum(mine, theirs) < len(words)
+            same = inside & (ranks[k][np.where(inside, mine, 0)] == ranks[k][np.where(inside, theirs, 0)])
+            for x in (mine, theirs, shared):
+                x[same] += 1 << k
+        which = np.where(shared > best, test_order[near], which)
+        best = np.maximum(best, shared)
+    return best, which
+
+
 def _merged(start: np.ndarray, end: np.ndarray) -> list[dict[str, int]]:
     spans: list[dict[str, int]] = []
     for a, b in sorted(zip(start.tolist(), end.tolist())):
@@ -102,43 +151,40 @@ def _search(batches, items, window):
         order = np.argsort(doc, kind="stable")
         doc, start, which = doc[order], start[order], which[order]
         bounds = np.searchsorted(doc, np.arange(len(counts) + 1))
+        if len(doc):
+            # texts hit and items hit, in one line, each ended by a 0
+            texts, windows = np.unique(doc), np.unique(which)
+            items_hit = np.unique(test.items_of[tokens.gather(np.arange(len(test.items_of)), test.bounds[windows], np.diff(test.bounds)[windows])])
+            sizes = np.array(counts, np.int64)[texts] + 1
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            ends = np.append(test.first, len(test.flat) - window)
+            own = np.isin(test.item, items_hit)
+            lengths = (ends[1:] - ends[:-1])[items_hit]
+            begins = at[-1] + np.cumsum(lengths + 1) - lengths - 1
+            line = np.zeros(int(at[-1] + (lengths + 1).sum()), np.int32)
+            line[: at[-1]] = tokens.gather(flat, first[texts], sizes)
+            for b, item, n in zip(begins.tolist(), items_hit.tolist(), lengths.tolist()):
+                line[b : b + n] = test.flat[test.first[item] : test.first[item] + n]
+            places, tests = at[np.searchsorted(texts, doc)] + start, begins[np.searchsorted(items_hit, test.item[own])] + test.place[own] - test.first[test.item[own]]
+            best, near = _longest_matches(line, places, tests)
+            # a hit of an item shorter than a window is that item's whole length
+            short = best < window
+            near_item = np.where(short, test.items_of[test.bounds[which]], items_hit[np.searchsorted(begins, near, "right") - 1])
+            best = np.where(short, test.size[which], best)
         rows = []
         for d, (n, id_) in enumerate(zip(counts, batch.column("doc_id").to_pylist())):
             a, b = bounds[d], bounds[d + 1]
             row = {"doc_id": id_, "n_words": n, "spans": [], "items": [], "longest": 0, "longest_item": None, "longest_start": None}
             if b > a:
-                s, w = start[a:b], which[a:b]
-                row["spans"] = _merged(s, s + test.size[w])
-                row["items"] = sorted({test.item[x] for x in w.tolist()})
-                met = set(zip(s.tolist(), w.tolist()))
-                for x, y in sorted(met):
-                    if (x - 1, y - 1) in met and test.item[y] == test.item[y - 1]:
-                        continue  # within a longer match
-                    mine, theirs = flat[first[d] + x : first[d] + n], test.words[y]
-                    m = min(len(mine), len(theirs))
-                    differ = np.nonzero(mine[:m] != theirs[:m])[0]
-                    length = int(differ[0]) if len(differ) else m
-                    if length > row["longest"]:
-                        row |= {"longest": length, "longest_item": test.item[y], "longest_start": x}
+                row["spans"] = _merged(start[a:b], start[a:b] + test.size[which[a:b]])
+                found = np.unique(which[a:b])
+                row["items"] = sorted({test.items[i] for w in found.tolist() for i in test.items_of[test.bounds[w] : test.bounds[w + 1]].tolist()})
+                x = a + np.lexsort((start[a:b], -best[a:b]))[0]
+                row |= {"longest": int(best[x]), "longest_item": test.items[near_item[x]], "longest_start": int(start[x])}
             rows.append(row)
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def _blocks(benchmark: DataFrame, block_words: int):
-    """The benchmark's (item, words) in blocks of bounded size; items without an id or a word are left out."""
-    block, size = [], 0
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for row in items.where("item_id is not null and text is not null").toLocalIterator():
-        if words := alnum_words(row["text"]):
-            if block and size + len(words) > block_words:
-                yield block
-                block, size = [], 0
-            block.append((row["item_id"], words))
-            size += len(words)
-    if block:
-        yield block
-
-
 def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """One row per document: doc_id, n_words, spans (merged word spans covered by benchmark windows), items
     (sorted distinct ids), and the longest verbatim match: its length in words, item and first word.
@@ -148,25 +194,35 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, b
     items without id or words are no items. An empty benchmark finds nothing. Extra columns are ignored.
     """
     kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = list(_blocks(benchmark, block_words)) or [[]]
-    if len(blocks) == 1:
-        return kept.mapInArrow(lambda b, i=blocks[0]: _search(b, i, window), FOUND)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    blocks = max(1, -(-int(size) // block_words))
+
+    def block(i: int) -> list[tuple[str, list[bytes]]]:
+        """Items of a block and their words; those without a word are left out. Items that share an id share a block."""
+        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).toArrow()
+        return [(k, w) for k, t in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()) if (w := alnum_words(t))]
+
+    context = documents.sparkSession.sparkContext
+    if blocks == 1:
+        sent = context.broadcast(block(0))
+        return kept.mapInArrow(lambda b: _search(b, sent.value, window), FOUND)
     numbered = kept.withColumn("doc_id", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
+    tagged = FOUND.replace("doc_id long", "doc_id struct<doc_id:long,row:long>")
+    union = None
+    for i in range(blocks):
+        sent = context.broadcast(block(i))
 
-    def part(items):
-        tagged = FOUND.replace("doc_id long", "doc_id struct<doc_id:long,row:long>")
-
-        def run(batches):
+        def run(batches, sent=sent):
             for batch in batches:
                 ids = batch.column("doc_id")
-                for out in _search([batch.set_column(0, "doc_id", ids.field(0))], items, window):
+                for out in _search([batch.set_column(0, "doc_id", ids.field(0))], sent.value, window):
                     yield out.set_column(0, "doc_id", ids)
 
-        return numbered.mapInArrow(run, tagged)
-
-    union = None
-    for items in blocks:
-        union = part(items) if union is None else union.unionByName(part(items))
+        # each block's finds are written before the next is sent, so the driver holds one block at a time
+        part = written(numbered.mapInArrow(run, tagged))
+        sent.destroy()
+        union = part if union is None else union.unionByName(part)
     best = F.max_by(F.struct("longest", "longest_item", "longest_start"), F.col("longest"))
     both = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("b"))
     # sorted spans that touch become one

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -257,6 +259,39 @@ def test_decontamination(spark, docs, none, block_words):
     assert decontaminate.find_matches(none, bench).count() == 0
 
 
+def search(texts, items, window=10):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    known = [(i, w) for i, t in items if (w := decontaminate.alnum_words(t))]
+    return [r for b in decontaminate._search([batch], known, window) for r in b.to_pylist()]
+
+
+def test_longest_matches_equal_brute_force():
+    r, split = random.Random(4), decontaminate.alnum_words
+    for trial in range(80):
+        letters, window = "abc" if trial % 2 else "abcdefgh", r.choice([2, 3, 5])
+        items = [(str(i), " ".join(r.choice(letters) for _ in range(r.randint(0, 12)))) for i in range(5)]
+        texts = [" ".join(r.choice(letters + "z") for _ in range(r.randint(0, 30))) for _ in range(6)] + [None]
+        for row, text in zip(search(texts, items, window), texts):
+            w, best = split(text), 0
+            for _, t in items:
+                x = split(t)
+                size = min(window, len(x))
+                for a in range(len(x) - size + 1 if x else 0):
+                    for b in range(len(w) - size + 1):
+                        n = 0
+                        while a + n < len(x) and b + n < len(w) and x[a + n] == w[b + n]:
+                            n += 1
+                        best = max(best, n if n >= size else 0)
+            assert row["longest"] == best
+            assert (0, sum(s["end"] - s["start"] for s in row["spans"]), row["items"]) == (0, *brute_hits([(0, text)], items, window)[0][2:])
+
+
+def test_repeated_words_cost_no_more_than_their_length():
+    began = time.time()
+    (row,) = search(["a " * 20_000], [("i", "a " * 3000)])
+    assert time.time() - began < 10 and row["longest"] == 3000 and row["spans"] == [{"start": 0, "end": 20_000}]
+
+
 def test_quality_statistics(spark, docs, none):
     got = quality_rules.judge(docs).collect()
     want = []
