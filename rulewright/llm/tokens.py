@@ -24,7 +24,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes of text put together at a time; words encoded in one string; pieces remembered per worker since the memory was last dealt
 #: anew, which then keeps those before as the older half; characters of the longest that is remembered.
-PART_BYTES, TOGETHER, MEMORY, LONGEST = 8 << 20, 1000, 250_000, 40
+PART_BYTES, TOGETHER, MEMORY, LONGEST = 3 << 20, 1000, 150_000, 40
 
 _loaded: dict[tuple[str, bool], "SegmentTokenizer"] = {}
 
