@@ -139,7 +139,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], finders: list[int], n_
     now, total, before = start, sum(n for _, n in patterns), -math.inf
     for _ in range(rounds if total else 0):
         weights = [WEIGHT * len(start.shares) * x for x in start.shares]
-        votes_of = [[{v: WEIGHT * p for v, p in r.items()} for r in rates] for rates in start.rates]
+        # a rule votes on bad documents of another's kind as on good ones, as far as data don't tell
+        prior = [start.rates[0], *([start.rates[c][r] if r == k else now.rates[0][r] for r in range(n_rules)] for c, k in enumerate(finders, 1))]
+        votes_of = [[{v: WEIGHT * p for v, p in r.items()} for r in rates] for rates in prior]
         fit = 0.0
         for votes, n in patterns:
             logs = now.log_odds(votes)
