@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import chat_format, decontaminate, edit_counts, language_id, packing, quality_classifier, quality_rules, simhash, suffix_tree, toxicity
+from rulewright.llm import chat_format, clustering, decontaminate, edit_counts, language_id, packing, quality_classifier, quality_rules, runs, sharding, simhash, suffix_tree, toxicity
 from rulewright.llm.common import id_remainder, table
 
 
@@ -94,6 +94,37 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(documents, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def with_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id and text; of every document whose crc32(doc_id) is divisible by ten, words from a place of its own on repeat with a period of its own."""
+    mark = id_remainder(F.col("doc_id"), 1 << 32)
+    words = F.array_remove(F.split("text", "[ \\x09-\\x0D]+"), "")
+    g, n = F.floor(mark / 10), F.size("w")
+    a = F.col("g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+    at = lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    repeated = documents.select("doc_id", "text", F.when((mark % 10 == 0) & F.col("text").isNotNull(), words).alias("w"), g.alias("g"))
+    repeated = repeated.withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+    return repeated.select("doc_id", F.when(n > 0, F.array_join(F.transform("w", at), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best)).withColumns({"start": -F.col("best.back"), "length": F.col("best.length"), "period": -F.col("best.short")})
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.with_inertia(*clustering.cluster(table(spark, sf_dir, "embeddings")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -101,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_packing, op2_simhash, op3_suffix_tree, op4_decontamination, op5_quality_rules, op6_edit_counts, op7_toxicity, op8_quality_classifier, op9_chat_format, op10_language_id)
+    ops = (op1_packing, op2_simhash, op3_suffix_tree, op4_decontamination, op5_quality_rules, op6_edit_counts, op7_toxicity, op8_quality_classifier, op9_chat_format, op10_language_id, op11_periodic_runs, op12_sharding, op13_centroid_clustering)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 

@@ -10,9 +10,10 @@ import xxhash
 PART_BYTES = 8 << 20
 
 
-def numbered_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Of texts (null: empty), A-Z lower-cased and split at ASCII white space: the number of each word, the distinct words, and each text's first word (and the end)."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+def numbered_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of texts (null: empty), A-Z lower-cased if `lower`, and split at ASCII white space: the number of each word, the distinct words, and each text's first word (and the end)."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, first = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     first -= first[0]
     some = pc.binary_length(flat).to_numpy() > 0
