@@ -1,18 +1,21 @@
 """Operator 5: quality rules by weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. There are at most 3 ** rules
-different vote patterns, so documents are counted by pattern first, and expectation-maximisation
-over that small table estimates how often each rule casts each vote on good documents and on bad ones.
-Bad documents are of several kinds, one for each rule that can find a defect: defects that never meet
-would else pass for a trait of good documents. The shares of good documents and of each kind are
-estimated too. A document's verdict is its posterior probability of being good: a bad vote that the
-other votes speak against can be outvoted, and a document without one can fail.
+Each rule votes good (1), bad (-1) or abstains (0) on a document. Three rules look for one defect each time,
+in different ways: marks in place of words, repetition, shouting. Documents are counted by their votes on a
+defect, of which there are at most 27 kinds, and expectation-maximisation over that small table estimates how
+large a share of documents has the defect, and each rule's accuracy: how often it votes bad on documents with
+the defect, and how often good on those without, where it votes. Rules on one defect overlap and so tell on
+each other; rules on different defects don't, as a document with one defect is no likelier to have another.
+A document's verdict is its posterior probability of having none. So a bad vote is outvoted by two good ones
+of rules that have been right more often, and abstaining says nothing.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,116 +70,110 @@ def statistics(documents: DataFrame) -> DataFrame:
         _bind(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))).alias("l"),
         F.regexp_replace("t", f"[^{SYMBOLS}!?]+", "").alias("marks"),
         F.regexp_count("t", F.lit("\\p{Lu}")).alias("n_upper"),
+        F.length(F.regexp_replace("t", "[^\\p{L}]+", "")).alias("n_letters"),
+        F.regexp_count("t", F.lit("[^\\p{L} \\x09-\\x0D]{2,}")).alias("n_clusters"),
+        F.regexp_count("t", F.lit("[.!?]+")).alias("n_stops"),
     )
     marks = F.regexp_replace("marks", "[!?]+", "")
     parts = parts.withColumns({"n_symbols": F.length(marks), "n_exclaim": F.length("marks") - F.length(marks)})
-    names = ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_distinct", "l.n_lines", "n_exclaim", "n_upper")
+    names = ("w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "w.n_distinct", "l.n_lines", "n_exclaim", "n_upper", "n_letters", "n_clusters", "n_stops")
     return parts.select("doc_id", "row_key", *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in names))
 
 
-def _vote(bad: Column | None = None, good: Column | None = None) -> Column:
-    vote = F.lit(0)
-    if good is not None:
-        vote = F.when(good, 1).otherwise(vote)
-    return vote if bad is None else F.when(bad, -1).otherwise(vote)
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
-    """The votes over statistics(). A rule that looks for one defect abstains where it finds none: that doesn't make a text good. In a short text one phrase said twice is a large share, so repetition abstains there."""
+def rules() -> dict[str, dict[str, Column]]:
+    """The votes over statistics(), by the defect that they look for. Between the two limits of a rule it abstains."""
     n, chars = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
+    kinds, most = 100 * F.col("n_distinct"), F.least(n, F.lit(400))
     return {
-        "length": _vote(good=n >= 2 * MIN_WORDS),
-        "symbols": _vote(10 * F.col("n_symbols") > n),
-        "repetition": _vote((100 * F.col("n_repeat_words") > 30 * n) & (n >= 2 * MIN_WORDS)),
-        "lines": _vote((F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
-        "capitals": _vote(100 * F.col("n_upper") > 30 * chars),
-        "exclaim": _vote(10 * F.col("n_exclaim") > n),
-        "variety": _vote(100 * F.col("n_distinct") < 15 * F.least(n, F.lit(400)), 100 * F.col("n_distinct") > 40 * F.least(n, F.lit(400))),
-        "word_length": _vote((chars > 14 * n) | (2 * chars < 5 * n), (chars <= 11 * n) & (chars >= 3 * n)),
+        "marks": {
+            "symbols": _vote(20 * F.col("n_symbols") > n, 100 * F.col("n_symbols") <= n),
+            "letters": _vote(100 * F.col("n_letters") < 88 * chars, 100 * F.col("n_letters") >= 93 * chars),
+            "clusters": _vote(20 * F.col("n_clusters") > n, 50 * F.col("n_clusters") <= n),
+        },
+        "repetition": {
+            "windows": _vote(100 * F.col("n_repeat_words") > 15 * n, 20 * F.col("n_repeat_words") <= n),
+            "lines": _vote(5 * F.col("n_dup_lines") > F.col("n_lines"), 20 * F.col("n_dup_lines") <= F.col("n_lines")),
+            "variety": _vote(kinds < 45 * most, kinds > 60 * most),
+        },
+        "shouting": {
+            "capitals": _vote(10 * F.col("n_upper") > chars, 20 * F.col("n_upper") <= chars),
+            "exclaim": _vote(20 * F.col("n_exclaim") > n, 100 * F.col("n_exclaim") <= n),
+            "stops": _vote(100 * F.col("n_stops") > 40 * n, 4 * F.col("n_stops") <= n),
+        },
     }
 
 
-#: The rules that vote bad, by place.
-FINDERS = [1, 2, 3, 4, 5, 6, 7]
-#: Where estimation starts: how often a rule votes bad and good on bad documents of its own kind, and on all others, which are alike until data tell.
-START = {"own": {-1: 0.9, 1: 0.03}, "other": {-1: 0.005, 1: 0.6}}
-#: A kind is of documents on which its rule votes bad at least so often: that defines it, and so keeps it from turning into another.
-FOUND = 0.8
-#: The share of good documents it starts from, and what the start weighs against the data, in documents: for false alarms, as nothing else tells
-#: those on good documents from a kind of their own, and for all else.
-SHARE, ALARM_WEIGHT, WEIGHT = 0.8, 50.0, 1.0
-VOTES = (-1, 0, 1)
-
-
-def _outcomes(start: dict) -> dict[int, float]:
-    return {v: start.get(v, 1 - sum(start.values())) for v in VOTES}
+#: Where estimation starts, and what the start weighs against the data, in documents.
+SHARE, FOUND, ALARM, WEIGHT = 0.1, 0.7, 0.05, 2.0
 
 
 @dataclass
 class Estimate:
-    """Of good documents (first) and each kind of bad ones: their share, and each rule's votes."""
+    """Of one defect: the share of documents that have it, and of each rule how often its vote is bad on documents with it (found) and without (alarm)."""
 
-    shares: list[float]
-    rates: list[list[dict[int, float]]]
+    share: float
+    found: list[float]
+    alarm: list[float]
 
-    def log_odds(self, votes: tuple[int, ...]) -> list[float]:
-        return [math.log(share) + sum(math.log(r[v]) for v, r in zip(votes, rates)) for share, rates in zip(self.shares, self.rates)]
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        """Probability of the defect."""
+        odds = math.log(self.share / (1 - self.share))
+        for v, f, a in zip(votes, self.found, self.alarm):
+            odds += math.log(f / a) if v < 0 else math.log((1 - f) / (1 - a)) if v > 0 else 0.0
+        return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
 
-    def posteriors(self, votes: tuple[int, ...]) -> list[float]:
-        logs = self.log_odds(votes)
-        most = max(logs)
-        parts = [math.exp(x - most) for x in logs]
-        return [x / sum(parts) for x in parts]
 
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 5000, tolerance: float = 1e-9) -> Estimate:
+    """Share and accuracies by expectation-maximisation over vote patterns and their counts.
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], finders: list[int], n_rules: int, rounds: int = 2000, tolerance: float = 1e-9) -> Estimate:
-    """Shares and vote rates by expectation-maximisation over vote patterns and their counts; `finders` are the rules that can find a defect.
-
-    Start values weigh as much as ALARM_WEIGHT or WEIGHT documents, whatever the number of documents; with no patterns they are returned.
+    Start values weigh as much as WEIGHT documents, whatever the number of documents; with no patterns they are returned.
     """
-    own, other = (_outcomes(START[k]) for k in ("own", "other"))
-    start = Estimate([SHARE, *[(1 - SHARE) / max(len(finders), 1)] * len(finders)], [[other] * n_rules, *([own if r == k else other for r in range(n_rules)] for k in finders)])
-    now, total, before = start, sum(n for _, n in patterns), -math.inf
-    for _ in range(rounds if total else 0):
-        weights = [WEIGHT * len(start.shares) * x for x in start.shares]
-        # a rule votes on bad documents of another's kind as on good ones, as far as data don't tell
-        prior = [start.rates[0], *([start.rates[c][r] if r == k else now.rates[0][r] for r in range(n_rules)] for c, k in enumerate(finders, 1))]
-        votes_of = [[{v: WEIGHT * p for v, p in r.items()} for r in rates] for rates in prior]
-        fit = 0.0
-        for votes, n in patterns:
-            logs = now.log_odds(votes)
-            most = max(logs)
-            parts = [math.exp(x - most) for x in logs]
-            fit += n * (most + math.log(sum(parts)))
-            for c, x in enumerate(parts):
-                x *= n / sum(parts)
-                weights[c] += x
-                for r, v in enumerate(votes):
-                    votes_of[c][r][v] += x
-        now = Estimate([w / sum(weights) for w in weights], [[{v: x / sum(r.values()) for v, x in r.items()} for r in rates] for rates in votes_of])
-        for r, s in zip(now.rates[0], start.rates[0]):
-            alarm = (r[-1] * weights[0] + s[-1] * ALARM_WEIGHT) / (weights[0] + ALARM_WEIGHT)
-            r.update({v: alarm if v < 0 else r[v] * (1 - alarm) / (1 - r[-1]) for v in (0, 1, -1)})
-        for k, rates in zip(finders, now.rates[1:]):
-            found, merit = max(rates[k][-1], FOUND), min(rates[k][1], START["own"][1])
-            rates[k] = {-1: found, 0: max(1 - found - merit, 1e-9), 1: merit}
-        if fit - before < tolerance * total:
+    now = Estimate(SHARE, [FOUND] * n_rules, [ALARM] * n_rules)
+    for _ in range(rounds if patterns else 0):
+        weighed = [(votes, n, n * now.posterior(votes)) for votes, n in patterns]
+
+        def rate(rule: int, start: float, mass) -> float:
+            bad = sum(mass(n, x) for votes, n, x in weighed if votes[rule] < 0)
+            return (bad + WEIGHT * start) / (sum(mass(n, x) for votes, n, x in weighed if votes[rule]) + WEIGHT)
+
+        total = sum(n for _, n in patterns)
+        new = Estimate(
+            (sum(x for _, _, x in weighed) + WEIGHT * SHARE) / (total + WEIGHT),
+            [rate(r, FOUND, lambda n, x: x) for r in range(n_rules)],
+            [rate(r, ALARM, lambda n, x: n - x) for r in range(n_rules)],
+        )
+        moved = max(abs(x - y) for x, y in zip([new.share, *new.found, *new.alarm], [now.share, *now.found, *now.alarm]))
+        now = new
+        if moved < tolerance:
             break
-        before = fit
     return now
 
 
-def posterior(votes: list[str], found: Estimate) -> Column:
-    """Probability of good, as a Column over the vote columns."""
+def _defect(votes: list[str], found: Estimate) -> Column:
+    """Probability of a defect, as a Column over the columns of votes on it: looked up by their code."""
+    odds = [F.lit(found.posterior(v)) for v in product((-1, 0, 1), repeat=len(votes))]
+    code = F.lit(0)
+    for v in votes:
+        code = 3 * code + F.col(v) + 1
+    return F.get(F.array(*odds), code)
 
-    def log_odds(share: float, rates: list[dict[int, float]]) -> Column:
-        logs = F.lit(math.log(share))
-        for v, r in zip(votes, rates):
-            logs += F.when(F.col(v) == 1, math.log(r[1])).when(F.col(v) == -1, math.log(r[-1])).otherwise(math.log(r[0]))
-        return logs
 
-    classes = F.array(*(log_odds(*x) for x in zip(found.shares, found.rates)))
-    return _bind(classes, lambda logs: 1 / F.aggregate(logs, F.lit(0.0), lambda a, x: a + F.exp(F.least(x - F.get(logs, F.lit(0)), F.lit(700.0)))))
+def estimates(voted: DataFrame) -> dict[str, Estimate]:
+    """By defect its Estimate, from rows with a column `vote_<rule>` for each rule; a count a vote pattern reaches the driver, 3 ** rules at most."""
+    named = rules()
+    votes = [f"vote_{k}" for of in named.values() for k in of]
+    patterns, out, at = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect(), {}, 0
+    for defect, of in named.items():
+        counts: Counter = Counter()
+        for r in patterns:
+            counts[tuple(r[at : at + len(of)])] += r[-1]
+        out[defect] = estimate(sorted(counts.items()), len(of))
+        at += len(of)
+    return out
 
 
 def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -187,13 +184,15 @@ def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     rows are judged each; extra columns are ignored; an empty table gives an empty result.
     """
     named = rules()
-    votes = [f"vote_{k}" for k in named]
     stats = cut_lineage(statistics(documents))
-    voted = stats.withColumns({f"vote_{k}": v for k, v in named.items()})
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()]
+    voted = stats.withColumns({f"vote_{k}": v for votes in named.values() for k, v in votes.items()})
+    found = estimates(voted)
+    none = F.lit(1.0)
+    for defect, votes in named.items():
+        none = none * (1 - _defect([f"vote_{k}" for k in votes], found[defect]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    judged = voted.withColumn("base_failed", failed).withColumn("posterior", posterior(votes, estimate(patterns, FINDERS, len(votes))))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*votes)
+    judged = voted.withColumn("base_failed", failed).withColumn("posterior", none)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold)).drop(*(f"vote_{k}" for votes in named.values() for k in votes))
 
 
 def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -313,32 +313,53 @@ def test_quality_statistics(spark, docs, none):
     assert quality_rules.judge(none).count() == 0
 
 
-def test_expectation_maximisation_separates_defects_that_never_meet():
-    patterns = [((1, 0, 0, 1), 9000), ((1, -1, 0, 1), 500), ((1, 0, -1, 0), 300), ((0, 0, 0, 1), 1000)]
-    found = quality_rules.estimate(patterns, [1, 2], 4)
-    good = {v: found.posteriors(v)[0] for v, _ in patterns}
-    assert good[1, 0, 0, 1] > 0.9 and good[0, 0, 0, 1] > 0.9 and good[1, -1, 0, 1] < 0.1 and good[1, 0, -1, 0] < 0.1
-    assert abs(found.shares[0] - 10000 / 10800) < 0.02
+def two_class_em(patterns, rounds=3000):
+    """Expectation-maximisation over a list of single documents' votes, by numpy, from the same start."""
+    votes = np.array([v for v, n in patterns for _ in range(n)])
+    share, found, alarm = 0.1, np.full(votes.shape[1], 0.7), np.full(votes.shape[1], 0.05)
+    for _ in range(rounds):
+        odds = share / (1 - share) * np.where(votes < 0, found / alarm, np.where(votes > 0, (1 - found) / (1 - alarm), 1)).prod(axis=1)
+        p = odds / (1 + odds)
+        share = (p.sum() + 0.2) / (len(p) + 2)
+        bad, cast = votes < 0, votes != 0
+        found = ((p[:, None] * bad).sum(axis=0) + 1.4) / ((p[:, None] * cast).sum(axis=0) + 2)
+        alarm = (((1 - p)[:, None] * bad).sum(axis=0) + 0.1) / (((1 - p)[:, None] * cast).sum(axis=0) + 2)
+    return share, found, alarm
+
+
+def test_expectation_maximisation_equals_one_over_single_documents():
+    patterns = [((1, 1, 1), 900), ((-1, -1, -1), 40), ((-1, -1, 1), 20), ((1, 1, -1), 25), ((0, -1, -1), 9), ((0, 0, 1), 60), ((-1, 0, 0), 5)]
+    found = quality_rules.estimate(patterns, 3)
+    share, hits, alarms = two_class_em(patterns)
+    assert np.allclose([found.share, *found.found, *found.alarm], [share, *hits, *alarms], atol=1e-6)
 
 
 def test_votes_are_weighed_by_what_the_data_say_of_them():
-    # a rule whose bad votes come with others' mostly, and now and then alone on texts that all else speaks for
-    patterns = [((1, 0, 0, 1), 9000), ((0, -1, -1, 0), 900), ((0, -1, 0, 0), 300), ((0, 0, -1, 0), 300), ((1, -1, 0, 1), 30), ((0, 0, 0, 0), 60)]
-    found = quality_rules.estimate(patterns, [1, 2], 4)
-    assert found.posteriors((1, -1, 0, 1))[0] > 0.9  # kept in spite of a bad vote
-    assert found.posteriors((0, 0, 0, 0))[0] < 0.1  # lost without one
-    # the same votes among other data have another verdict
-    other = quality_rules.estimate([((1, 0, 0, 1), 9000), ((1, -1, 0, 1), 900), ((0, 0, 0, 0), 900)], [1, 2], 4)
-    assert other.posteriors((1, -1, 0, 1))[0] < 0.1 and other.posteriors((0, 0, 0, 0))[0] > 0.5
+    # the third rule's bad votes come alone mostly: one is outvoted, and two others' outweigh its good vote
+    patterns = [((1, 1, 1), 9000), ((-1, -1, -1), 300), ((-1, -1, 1), 200), ((1, 1, -1), 400)]
+    found = quality_rules.estimate(patterns, 3)
+    assert found.posterior((1, 1, -1)) < 0.1 and found.posterior((-1, -1, 1)) > 0.9
+    # the same vote among other data has another verdict: a tenth of votes changed
+    other = quality_rules.estimate([((1, 1, 1), 9000), ((-1, -1, -1), 300), ((-1, 0, -1), 300), ((0, 1, -1), 300), ((0, 0, -1), 20)], 3)
+    assert other.posterior((0, 0, -1)) > 0.9 > found.posterior((0, 0, -1))
     # nothing to learn from: where estimation starts
-    assert quality_rules.estimate([], [1, 2], 4).shares == [0.8, 0.09999999999999998, 0.09999999999999998]
+    assert quality_rules.estimate([], 3) == quality_rules.Estimate(0.1, [0.7] * 3, [0.05] * 3)
+
+
+def test_votes_on_one_defect_say_nothing_of_another(spark):
+    # symbols for words, among texts that else are repetitive: found though every other rule votes good
+    plain = [(i, prose(i, 120)) for i in range(300)]
+    repeats = [(1000 + i, " ".join(prose(i, 12).split() * 9)) for i in range(30)]
+    marks = [(2000 + i, " ".join(w if k % 2 else "#%$" for k, w in enumerate(prose(i, 120).split()))) for i in range(12)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(plain + repeats + marks, "doc_id long, text string")).collect()}
+    assert all(got[i] for i, _ in plain) and not any(got[i] for i, _ in repeats + marks)
 
 
 def test_posterior_column_equals_python(spark):
-    found = quality_rules.estimate([((1, 0, -1), 40), ((1, 0, 0), 400), ((0, -1, 0), 30)], [1, 2], 3)
+    found = quality_rules.estimate([((1, 0, -1), 40), ((1, 1, 1), 400), ((0, -1, -1), 30)], 3)
     votes = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    rows = spark.createDataFrame(votes, "a int, b int, c int").withColumn("p", quality_rules.posterior(["a", "b", "c"], found)).collect()
-    assert all(abs(r["p"] - found.posteriors((r["a"], r["b"], r["c"]))[0]) < 1e-12 for r in rows)
+    rows = spark.createDataFrame(votes, "a int, b int, c int").withColumn("p", quality_rules._defect(["a", "b", "c"], found)).collect()
+    assert all(abs(r["p"] - found.posterior((r["a"], r["b"], r["c"]))) < 1e-12 for r in rows)
 
 
 def test_edit_counts(spark, docs, none):
