@@ -23,14 +23,14 @@ from rulewright.llm import tokens
 from rulewright.llm.common import row_key, without_rows, written
 
 #: Bytes of a lower-cased text that separate words: ASCII other than 0-9 and a-z (A-Z become a-z).
-_SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 FOUND = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, longest long, longest_item string, longest_start long"
 
 
 def alnum_words(text: str | None) -> list[bytes]:
     """Words of ASCII letters (lower-cased), digits and non-ASCII characters; none for null."""
-    return text.encode("utf-8", "surrogatepass").translate(_SEPARATE).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(SEPARATE).split() if text else []
 
 
 class TestSuffixes:

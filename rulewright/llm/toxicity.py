@@ -1,131 +1,212 @@
 """Operator 7: toxicity by two class-conditional Kneser-Ney word models.
 
-Each class has a model of word pairs: absolute discounting of its pair counts, backing off to its words,
-whose counts are continuation counts (in how many different contexts a word occurs), discounted in turn.
-What the word models discount goes, as Kneser-Ney smoothing has it, to a distribution made of the discounted
-counts themselves, those of both classes together. So an expression that is rare in both classes is left to
-the shared counts, which favour neither; no word or pair that is counted is left out.
-
-A text's score compares its log-likelihoods under both models, normalised by its words and by their square
-root, as a whole and of the words that alone favour toxic by over one nat, through a logistic curve fitted
-on labelled rows that the counts leave out: a language's share in the classes shifts all its words a little.
+Each class has an interpolated Kneser-Ney model of word pairs. Counts are continuation counts, after how many
+different words a pair or a word occurs, so that copies of a text count once. What a pair is discounted backs
+off to the class's words, and what those are discounted to shared counts, those of both classes together, and
+in the end to all words alike. Discounts come from counts of counts of both classes: an expression that is rare
+in both tells nothing of either and is left to the shared counts. Every word and pair of the sample that follows
+another word is counted and scored.
+
+A toxic text is an ordinary one but for some words: its likelihood mixes the toxic model, by a small share,
+with the ordinary one. The score compares both log-likelihoods of a text, of its words alone and of its pairs,
+normalised by its length (and its square root), through a logistic curve of their logarithms that is fitted on
+labelled rows which the counts leave out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.llm.common import cut_lineage
-from rulewright.llm.decontaminate import alnum_words
+from rulewright.llm.decontaminate import SEPARATE
 from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
+from rulewright.llm.words import numbered_words, text_parts
 
+#: The share of a toxic text's words that the toxic model speaks for, and what is added to a feature before its logarithm, by feature.
+SHARE = 0.002
+FLOOR = np.array([1e-3, 1e-2, 1e-2])
 
-#: Log ratio, in nats, beyond which a word is strong evidence.
-STRONG = 1.0
-FEATURES = 4
+
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Each word's number, the distinct words, and each text's first word (and the end); words are of ASCII letters (lower-cased), digits and non-ASCII characters."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    plain = (data.to_pybytes() if data else b"")[at[0] : at[-1]].translate(SEPARATE)
+    return numbered_words(pa.StringArray.from_buffers(len(texts), pa.py_buffer((at - at[0]).tobytes()), pa.py_buffer(plain)), lower=False)
+
+
+def _before(code: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
+    """The number of the word before each; `start` for a text's first."""
+    out = np.concatenate(([start], code[:-1]))[: len(code)]
+    out[first[:-1][np.diff(first) > 0]] = start
+    return out
+
+
+#: Least counts of the classes of counts that discounts are estimated for.
+COUNTS = np.array([1, 2, 3, 4, 5, 9])
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What counts (2 x words or pairs) are discounted, by counts of counts: from 0 to the count itself.
+
+    What a count tells of its class, where the other class has none, is seen by leaving out one occurrence. Those with
+    k + 1 here and none there leave k for one that is here, and those with k here and one there leave k for one that is
+    there. If the former come r times as often as the latter, and as the classes' sizes have it, 1 / r of the count is
+    taken, all of it if r is 1 or less: then a count of k tells nothing. The larger r of both classes holds for both,
+    which so treat what is rare alike. Where both classes have a count, at most 1 is taken, as Kneser and Ney estimate it.
+    """
+    best = np.ones(len(COUNTS))
+    of = lambda c: np.maximum(np.searchsorted(COUNTS, c, "right") - 1, 0)
+    for own, other in zip(counts, counts[::-1]):
+        base = (own.sum() + 1) / (other.sum() + 1)
+        alone, met = own[(other == 0) & (own > 1)], own[(other == 1) & (own > 0)]
+        here, there = np.bincount(of(alone - 1), weights=alone, minlength=len(COUNTS)), np.bincount(of(met), minlength=len(COUNTS))
+        best = np.maximum(best, (here + base) / ((there + 1) * base))
+    n1, n2 = (np.array([(c == k).sum() for c in counts]) for k in (1, 2))
+    usual = ((n1 + 1) / (n1 + 2 * n2 + 2))[:, None]
+    return np.where(counts.min(axis=0) > 0, usual, counts / best[of(counts)])
+
+
+@dataclass
+class Tables:
+    """Probabilities by class (ordinary, toxic), of V words and of unknown ones (the last), and of pairs."""
+
+    word: np.ndarray  # 2 x (V + 1)
+    mass: np.ndarray  # 2 x (V + 2): what each context leaves to words; 1 for unknown ones, and for none, the last
+    pair: np.ndarray  # 2 x pairs
+
+
+def kneser_ney(v: np.ndarray, w: np.ndarray, counts: np.ndarray, n_words: int) -> Tables:
+    """Probabilities from counts (2 x pairs) of words w after v. A text's first word follows none."""
+    seen = np.stack([np.bincount(w, weights=c > 0, minlength=n_words + 1) for c in counts])
+    both = np.bincount(w, minlength=n_words + 1).astype(float)
+    # what unknown words get: as large a share as words that occur once
+    once = np.minimum(both, 1) * ((both == 1).sum() + 1) / (n_words + 1)
+    shared = (both - once + once.sum() / (n_words + 1)) / both.sum()
+    left = discounts(seen)
+    word = (seen - left + left.sum(axis=1, keepdims=True) * shared) / seen.sum(axis=1, keepdims=True)
+    left = discounts(counts)
+    total, open_ = (np.stack([np.bincount(v, weights=c, minlength=n_words + 2) for c in x]) for x in (counts, left))
+    mass = np.where(total > 0, np.maximum(open_, 1e-6) / np.maximum(total, 1), 1.0)
+    return Tables(word, mass, (counts - left) / np.maximum(total[:, v], 1) + mass[:, v] * word[:, w])
 
 
 @dataclass
 class Model:
-    """Log ratios, toxic to ordinary. Words and pairs that aren't named are discounted wholly in both classes: they have the ratio of the backoff."""
+    """Log ratios, toxic to ordinary."""
 
-    word: dict[bytes, float]  # of words' probabilities
-    other: float  # of any other word
-    context: dict[bytes, float]  # of the masses that contexts leave to words
-    pair: dict[tuple[bytes, bytes], float]  # of pairs' whole probabilities
+    words: pa.Array
+    word: np.ndarray  # of words' probabilities; of unknown words last
+    context: np.ndarray  # of the masses that contexts leave to words; 0 for unknown ones, and for none, the last
+    pairs: np.ndarray  # context * (words + 1) + word of each pair, sorted
+    pair: np.ndarray  # of pairs' probabilities
     curve: np.ndarray  # coefficients of the features, and intercept
 
-    def features(self, text: str | None) -> list[float]:
-        """Log-likelihood difference a word and a square root of words, of all words and of strong evidence. All 0 for a text without words."""
-        words = alnum_words(text)
-        if not words:
-            return [0.0] * FEATURES
-        word, context, pair, other = self.word.get, self.context.get, self.pair.get, self.other
-        ratios = [word(w, other) for w in words]
-        if self.context:
-            ratios = [r + c if (x := pair((v, w))) is None else x for v, w, r, c in zip([b"", *words], words, ratios, map(context, [b"", *words], repeat(0.0)))]
-        total, strong, n = sum(ratios), sum(r - STRONG for r in ratios if r > STRONG), len(words)
-        return [total / n, total / n**0.5, strong / n, strong / n**0.5]
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.features(t) for t in texts], float).reshape(-1, FEATURES)
-        return sigmoid(x @ self.curve[:-1] + self.curve[-1])
-
-
-def _pair_counts(batches):
-    for batch in batches:
-        counts: dict[tuple[bytes, bytes], list[int]] = {}
-        for toxic in (0, 1):
-            seen: Counter = Counter()
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                if y == toxic:
-                    words = alnum_words(text)
-                    seen.update(zip([b"", *words], words))
-            for k, n in seen.items():
-                counts.setdefault(k, [0, 0])[toxic] += n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in counts], pa.binary()), pa.array([k[1] for k in counts], pa.binary()), *(pa.array([n[i] for n in counts.values()], pa.int64()) for i in (0, 1))],
-            names=["v", "w", "ordinary", "toxic"],
-        )
-
-
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, word_discount: float = 4.0, pair_discount: float = 30.0) -> Model:
+    def ratios(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its log ratio alone and after the word before it, and each text's first word (and the end)."""
+        code, strings, first = _numbered(texts)
+        n = len(self.words)
+        known = pc.fill_null(pc.index_in(strings, value_set=self.words), n).to_numpy().astype(np.int64)
+        w = known[code] if len(code) else np.zeros(0, np.int64)
+        v = _before(w, first, n + 1)
+        alone = self.word[w].astype(float)
+        after = alone + self.context[v]
+        if len(self.pairs):
+            key = v * (n + 1) + w
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            after = np.where(self.pairs[at] == key, self.pair[at], after)
+        return alone, after, first
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        alone, after, first = self.ratios(texts)
+        sums = []
+        for r in (alone, after):
+            total = np.concatenate(([0.0], np.cumsum(np.log1p(SHARE * np.expm1(r)))))
+            sums.append(np.maximum(total[first[1:]] - total[first[:-1]], 0))
+        n = np.maximum(np.diff(first), 1)
+        return np.log(FLOOR + np.column_stack((sums[0] / n, sums[0] / np.sqrt(n), sums[1] / n)))
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        return sigmoid(self.features(texts) @ self.curve[:-1] + self.curve[-1])
+
+
+def _triples(batches):
+    """Distinct words u, v, w in a row, u empty at a text's start, and whether ordinary and toxic texts have them."""
+    for batch in text_parts(batches):
+        code, strings, first = _numbered(batch.column("text"))
+        n, code = len(strings), code.astype(np.int64)
+        toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(first))
+        v = _before(code, first, n)
+        u = _before(v, first, n)
+        inner = np.nonzero(v < n)[0]  # a text's first word follows none
+        order = inner[np.lexsort((u[inner], v[inner], code[inner]))]
+        rows = np.column_stack((u, v, code))[order]
+        begin = np.nonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))[0] if len(rows) else np.zeros(0, int)
+        named = pa.concat_arrays([strings.cast(pa.string()), pa.array([""], pa.string())])
+        has = [np.add.reduceat(toxic[order] == k, begin) > 0 if len(begin) else np.zeros(0, bool) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*(named.take(pa.array(rows[begin, k])) for k in range(3)), *(pa.array(x.astype(np.int64)) for x in has)], names=["u", "v", "w", "ordinary", "toxic"])
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Coefficients of the features, fitted on standardised ones: one that doesn't vary has none. No sum of evidence for toxic speaks against it."""
+    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    x = (x - middle) / spread
+    curve = logistic_fit(x, y, weight, ridge)
+    if (curve[:-1] < 0).any():
+        x[:, curve[:-1] < 0] = 0
+        curve = logistic_fit(x, y, weight, ridge)
+    curve[:-1] /= spread
+    curve[-1] -= curve[:-1] @ middle
+    return curve
+
+
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Model:
     """Fit on documents (doc_id, text) with labels (doc_id, toxic 0/1), of which about `max_rows` rows at most are used, half of each class.
 
-    Other labels than 0 and 1 are ignored. With only one class, every text gets that class's share. The model has the sample's words / word_discount
-    words at most. The discounts are large, as words and pairs of one text, language or copy come together: a few more in one class say nothing.
+    Other labels than 0 and 1, and labels without a document, are ignored; null and empty texts have no words; repeated
+    rows count each; extra columns are ignored. With only one class, or none, nothing is compared: every text gets that
+    class's share. The model has the sample's words and pairs, all of them, and so is bounded by the sample.
     """
     sample, weight = labelled_texts(documents, labels, "toxic", max_rows)
     sample = cut_lineage(sample)
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4))
-    pairs = cut_lineage(sample.where(part > 0).select("text", "toxic").mapInArrow(_pair_counts, "v binary, w binary, ordinary long, toxic long").groupBy("v", "w").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    words = pairs.groupBy("w").agg(F.count_if(F.col("ordinary") > 0).alias("o"), F.count_if(F.col("toxic") > 0).alias("t"))
-    cut = lambda c, d: F.least(F.col(c), F.lit(d))
-    n_o, n_t, left_o, left_t = (float(x or 0) for x in words.agg(F.sum("o"), F.sum("t"), F.sum(cut("o", word_discount)), F.sum(cut("t", word_discount))).first())
-    model = Model({}, 0.0, {}, {}, np.array([0.0] * FEATURES + [-40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
-    if not n_o or not n_t:
+    triples = sample.where(part > 0).select("text", "toxic").mapInArrow(_triples, "u string, v string, w string, ordinary long, toxic long")
+    for key, count in ((("u", "v", "w"), F.max), (("v", "w"), F.sum)):
+        triples = triples.groupBy(*key).agg(count("ordinary").alias("ordinary"), count("toxic").alias("toxic"))
+    table = triples.toArrow()
+    counts = np.stack([table.column(c).to_numpy().astype(float) for c in ("ordinary", "toxic")])
+    none = np.zeros(0)
+    model = Model(pa.array([], pa.string()), np.zeros(1, np.float32), np.zeros(2, np.float32), none.astype(np.int64), none, np.array([0.0] * len(FLOOR) + [-40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
+    if not counts.sum(axis=1).all():
         return model
-    model.other = float(np.log((left_t / n_t) / (left_o / n_o)))
-
-    def word_probabilities(o: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-        shared = (np.minimum(o, word_discount) + np.minimum(t, word_discount)) / (left_o + left_t)
-        return [(np.maximum(c - word_discount, 0) + left * shared) / n for c, left, n in ((o, left_o, n_o), (t, left_t, n_t))]
-
-    def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
-        return [table.column(c).to_numpy().astype(float) for c in names]
-
-    often = words.where((F.col("o") > word_discount) | (F.col("t") > word_discount)).toArrow()
-    q_o, q_t = word_probabilities(*numbers(often, "o", "t"))
-    model.word = dict(zip(often.column("w").to_pylist(), np.log(q_t / q_o).tolist()))
-    context = pairs.groupBy("v").agg(F.sum("ordinary").alias("vo"), F.sum("toxic").alias("vt"), F.sum(cut("ordinary", pair_discount)).alias("mo"), F.sum(cut("toxic", pair_discount)).alias("mt")).where("mo < vo or mt < vt")
-    mass = lambda m, v: np.where(v > 0, m / np.maximum(v, 1), 1.0)
-    contexts = context.toArrow()
-    vo, vt, mo, mt = numbers(contexts, "vo", "vt", "mo", "mt")
-    model.context = dict(zip(contexts.column("v").to_pylist(), np.log(mass(mt, vt) / mass(mo, vo)).tolist()))
-    met = pairs.where((F.col("ordinary") > pair_discount) | (F.col("toxic") > pair_discount)).join(context, "v").join(words, "w").toArrow()
-    c_o, c_t, vo, vt, mo, mt, o, t = numbers(met, "ordinary", "toxic", "vo", "vt", "mo", "mt", "o", "t")
-    q_o, q_t = word_probabilities(o, t)
-    p_o, p_t = (np.maximum(c - pair_discount, 0) / np.maximum(v, 1) + mass(m, v) * q for c, v, m, q in ((c_o, vo, mo, q_o), (c_t, vt, mt, q_t)))
-    model.pair = dict(zip(zip(met.column("v").to_pylist(), met.column("w").to_pylist()), np.log(p_t / p_o).tolist()))
+    strings = pa.concat_arrays([c for name in ("w", "v") for c in table.column(name).cast(pa.string()).chunks])
+    coded = strings.dictionary_encode()
+    code, named = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    n, w, v = len(named), code[: table.num_rows], code[table.num_rows :]
+    made = kneser_ney(v, w, counts, n)
+    key = v * (n + 1) + w
+    order = np.argsort(key)
+    word, context, pair = (np.log(x[1] / x[0]).astype(np.float32) for x in (made.word, made.mass, made.pair))
+    model = Model(named, word, context, key[order], pair[order], model.curve)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
-        for batch in batches:
-            found = pa.array([sent.value.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([found, batch.column("toxic")], names=["x", "toxic"])
+        for batch in text_parts(batches):
+            found = sent.value.features(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     left = sample.where(part == 0).select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()
-    x, y = np.array(left.column(0).to_pylist(), float).reshape(-1, FEATURES), left.column(1).to_numpy()
+    x, y = np.array(left.column(0).to_pylist(), float).reshape(-1, len(FLOOR)), left.column(1).to_numpy()
     if len(x):
-        model.curve = logistic_fit(x, y, np.array([weight[k] for k in y.tolist()]))
+        model.curve = _curve(x, y, np.array([weight[k] for k in y.tolist()]))
     return model
 
 
@@ -140,7 +221,8 @@ def score_column(documents: DataFrame, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def toxicity(text: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.score(text.tolist()))
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
+        return pd.Series(np.concatenate([np.zeros(0), *(sent.value.score(part.column("text")) for part in text_parts([batch]))]))
 
     return toxicity(documents["text"].cast("string"))
 

@@ -416,6 +416,70 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(docs, blank).count() == len(awkward())
 
 
+def naive_kneser_ney(texts):
+    """Log ratio of each pair's probability, toxic to ordinary, of (words, toxic) texts: dictionaries and the text's formulas."""
+    triples = [{t for w, y in texts if y == k for t in zip([b"", *w], w, w[1:])} for k in (0, 1)]
+    pairs = [Counter((v, w) for _, v, w in t) for t in triples]
+    words = [Counter(w for _, w in p) for p in pairs]
+    both = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+    names = {w for p in pairs for vw in p for w in vw}
+    once = (sum(n == 1 for n in both.values()) + 1) / (len(names) + 1)
+    left = {w: min(n, 1) * once for w, n in both.items()}
+    shared = lambda w: (both[w] - left.get(w, 0) + sum(left.values()) / (len(names) + 1)) / sum(both.values())
+
+    def taken(counts):
+        keys = sorted(set(counts[0]) | set(counts[1]))
+        cut = toxicity.discounts(np.array([[c[k] for k in keys] for c in counts], float))
+        return [dict(zip(keys, row)) for row in cut]
+
+    cut_w, cut_p = taken(words), taken(pairs)
+
+    def word(k, w):
+        return (words[k][w] - cut_w[k].get(w, 0) + sum(cut_w[k].values()) * shared(w)) / sum(words[k].values())
+
+    def pair(k, v, w):
+        total = sum(n for (a, _), n in pairs[k].items() if a == v)
+        if not total:
+            return word(k, w)
+        mass = max(sum(n for (a, _), n in cut_p[k].items() if a == v), 1e-6) / total
+        return (pairs[k][v, w] - cut_p[k].get((v, w), 0)) / total + mass * word(k, w)
+
+    assert all(abs(sum(word(k, w) for w in [*names, b"?"]) - 1) < 1e-9 for k in (0, 1))
+    return word, pair
+
+
+def test_toxicity_probabilities_equal_brute_force(spark):
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choice(["ja", "ne", "da", "vil" if i % 2 else "mir", f"w{r.randint(0, 30)}"]) for _ in range(25)), i % 2) for i in range(50)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame, frame.select("doc_id", "toxic"))
+    used = {x["doc_id"] for x in frame.where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4)) > 0).collect()}
+    word, pair = naive_kneser_ney([(decontaminate.alnum_words(t), y) for i, t, y in texts if i in used])
+    said = "Ja vil ne unknown da mir vil vil w3"
+    alone, after, _ = model.ratios(pa.array([said]))
+    w = decontaminate.alnum_words(said)
+    assert np.allclose(alone, [math.log(word(1, x) / word(0, x)) for x in w], atol=1e-5)
+    assert np.allclose(after[1:], [math.log(pair(1, v, x) / pair(0, v, x)) for v, x in zip(w, w[1:])], atol=1e-5)
+
+
+def test_a_toxic_phrase_of_ordinary_words_raises_the_score(spark):
+    phrase = "maron tibaul"  # both words are common in all texts, but together in toxic ones only
+    rows = []
+    for i in range(240):
+        w = prose(i, 60).split() + ["maron", "ti", "tibaul", "ba"]
+        random.Random(i).shuffle(w)
+        w = [x for k, x in enumerate(w) if (x, w[k - 1]) != ("tibaul", "maron")]
+        rows.append((i, " ".join([*w[:20], phrase, *w[20:40], phrase, *w[40:]] if i % 2 else w), i % 2))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame, frame.select("doc_id", "toxic"))
+    plain = prose(999, 40)
+    with_it, apart = model.score(pa.array([f"{plain} ba {phrase} ul", f"{plain} ba tibaul maron ul"]))
+    assert with_it > apart
+    model.curve[:2] = 0  # by its pairs alone
+    x = model.features(pa.array([f"{plain} ba {phrase} ul", f"{plain} ba tibaul maron ul"]))
+    assert x[0, 2] > x[1, 2]
+
+
 def test_quality_classifier(spark, docs, none):
     frame = labelled(spark, lambda i: prose(i, 80), lambda i: " ".join(w + "%%%" for w in prose(i, 80).split()), 120)
     weights = quality_classifier.train(frame.where("doc_id < 100"), frame.select("doc_id", "quality"), size=1 << 14)
