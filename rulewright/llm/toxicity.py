@@ -71,32 +71,28 @@ def discounts(counts: np.ndarray) -> np.ndarray:
         here, there = np.bincount(of(alone - 1), weights=alone, minlength=len(COUNTS)), np.bincount(of(met), minlength=len(COUNTS))
         best = np.maximum(best, (here + base) / ((there + 1) * base))
     n1, n2 = (np.array([(c == k).sum() for c in counts]) for k in (1, 2))
-    usual = ((n1 + 1) / (n1 + 2 * n2 + 2))[:, None]
-    return np.where(counts.min(axis=0) > 0, usual, counts / best[of(counts)])
+    in_both = counts.min(axis=0) > 0
+    return np.stack([np.where(in_both, (a + 1) / (a + 2 * b + 2), own / best[of(own)]).astype(np.float32) for own, a, b in zip(counts, n1, n2)])
 
 
-@dataclass
-class Tables:
-    """Probabilities by class (ordinary, toxic), of V words and of unknown ones (the last), and of pairs."""
-
-    word: np.ndarray  # 2 x (V + 1)
-    mass: np.ndarray  # 2 x (V + 2): what each context leaves to words; 1 for unknown ones, and for none, the last
-    pair: np.ndarray  # 2 x pairs
-
-
-def kneser_ney(v: np.ndarray, w: np.ndarray, counts: np.ndarray, n_words: int) -> Tables:
-    """Probabilities from counts (2 x pairs) of words w after v. A text's first word follows none."""
-    seen = np.stack([np.bincount(w, weights=c > 0, minlength=n_words + 1) for c in counts])
+def kneser_ney(v: np.ndarray, w: np.ndarray, counts: np.ndarray, n_words: int, block: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log ratios of probabilities, toxic to ordinary, from counts (2 x pairs) of words w after v: of words (the last is any unknown one), of the masses that contexts leave to words (0 for unknown contexts, and none, the last), and of pairs."""
+    seen = np.stack([np.bincount(w[c > 0], minlength=n_words + 1) for c in counts])
     both = np.bincount(w, minlength=n_words + 1).astype(float)
     # what unknown words get: as large a share as words that occur once
     once = np.minimum(both, 1) * ((both == 1).sum() + 1) / (n_words + 1)
     shared = (both - once + once.sum() / (n_words + 1)) / both.sum()
     left = discounts(seen)
     word = (seen - left + left.sum(axis=1, keepdims=True) * shared) / seen.sum(axis=1, keepdims=True)
-    left = discounts(counts)
+    left = discounts(counts).astype(np.float32)
     total, open_ = (np.stack([np.bincount(v, weights=c, minlength=n_words + 2) for c in x]) for x in (counts, left))
     mass = np.where(total > 0, np.maximum(open_, 1e-6) / np.maximum(total, 1), 1.0)
-    return Tables(word, mass, (counts - left) / np.maximum(total[:, v], 1) + mass[:, v] * word[:, w])
+    pair = np.empty(len(v), np.float32)
+    for a in range(0, len(v), block):
+        at, to, own = v[a : a + block], w[a : a + block], counts[:, a : a + block] - left[:, a : a + block]
+        p = own / np.maximum(total[:, at], 1) + mass[:, at] * word[:, to]
+        pair[a : a + block] = np.log(p[1] / p[0])
+    return np.log(word[1] / word[0]).astype(np.float32), np.log(mass[1] / mass[0]).astype(np.float32), pair
 
 
 @dataclass
@@ -182,19 +178,18 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Mo
     for key, count in ((("u", "v", "w"), F.max), (("v", "w"), F.sum)):
         triples = triples.groupBy(*key).agg(count("ordinary").alias("ordinary"), count("toxic").alias("toxic"))
     table = triples.toArrow()
-    counts = np.stack([table.column(c).to_numpy().astype(float) for c in ("ordinary", "toxic")])
+    counts = np.stack([table.column(c).to_numpy().astype(np.int32) for c in ("ordinary", "toxic")])
     none = np.zeros(0)
     model = Model(pa.array([], pa.string()), np.zeros(1, np.float32), np.zeros(2, np.float32), none.astype(np.int64), none, np.array([0.0] * len(FLOOR) + [-40.0 if not weight.get(1) else 40.0 if not weight.get(0) else 0.0]))
     if not counts.sum(axis=1).all():
         return model
-    strings = pa.concat_arrays([c for name in ("w", "v") for c in table.column(name).cast(pa.string()).chunks])
-    coded = strings.dictionary_encode()
-    code, named = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-    n, w, v = len(named), code[: table.num_rows], code[table.num_rows :]
-    made = kneser_ney(v, w, counts, n)
-    key = v * (n + 1) + w
+    named = pc.unique(pa.concat_arrays([pc.unique(table.column(c).cast(pa.string())) for c in ("w", "v")]))
+    v, w = (pc.index_in(table.column(c).cast(pa.string()), value_set=named).to_numpy() for c in ("v", "w"))
+    del table
+    n = len(named)
+    word, context, pair = kneser_ney(v, w, counts, n)
+    key = v.astype(np.int64) * (n + 1) + w
     order = np.argsort(key)
-    word, context, pair = (np.log(x[1] / x[0]).astype(np.float32) for x in (made.word, made.mass, made.pair))
     model = Model(named, word, context, key[order], pair[order], model.curve)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
