@@ -27,6 +27,12 @@ def containment(inner: Column, outer: Column) -> Column:
     return F.coalesce(F.try_divide(overlap(inner, outer), area(inner).cast("double")), F.lit(0.0))
 
 
+def iou(a: Column, b: Column) -> Column:
+    """Intersection over union of two boxes; 0 for empty ones."""
+    both = overlap(a, b)
+    return F.coalesce(F.try_divide(both, area(a) + area(b) - both), F.lit(0.0))
+
+
 def centre_distance(a: Column, b: Column) -> Column:
     dx = a["x"] + a["w"] / 2 - b["x"] - b["w"] / 2
     dy = a["y"] + a["h"] / 2 - b["y"] - b["h"] / 2

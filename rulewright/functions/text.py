@@ -99,10 +99,3 @@ def json_object(text: Column) -> Column:
     """The JSON object inside a fenced or bare reply, as text; null if it doesn't parse."""
     bare = F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
     return F.when(F.try_parse_json(bare).isNotNull(), bare)
-
-
-def box_iou(a: Column, b: Column) -> Column:
-    """Intersection over union of boxes (x, y, w, h); 0 for empty ones."""
-    w = F.greatest(F.lit(0.0), F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))
-    h = F.greatest(F.lit(0.0), F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]))
-    return F.coalesce(F.try_divide(w * h, a["w"] * a["h"] + b["w"] * b["h"] - w * h), F.lit(0.0))

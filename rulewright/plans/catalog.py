@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulewright.functions import dates, text
+from rulewright.functions import dates, geometry, text
 from rulewright.operators import relational, retrieval, rules, units
 from rulewright.operators.conditions import Evidence, compile_calculation, compile_condition, parse_date
 
@@ -358,7 +358,7 @@ def agreement_cap(spark, d):
 @query("SELECT l_orderkey, l_linenumber, round(coalesce(greatest(0, least(l_quantity+10, 35)-greatest(l_quantity,20)) * 10 / nullif(100 + 150 - greatest(0, least(l_quantity+10, 35)-greatest(l_quantity,20)) * 10, 0), 0), 6)::DOUBLE AS iou FROM lineitem")
 def iou_pairs(spark, d):
     box = lambda x, w: F.struct(x.cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(float(w)).alias("w"), F.lit(10.0).alias("h"))
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(text.box_iou(box(F.col("l_quantity"), 10), box(F.lit(20), 15)), 6).alias("iou"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(geometry.iou(box(F.col("l_quantity"), 10), box(F.lit(20), 15)), 6).alias("iou"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rulewright.plans import catalog, evidence, inspections
+from rulewright.plans import catalog, evidence, inspections, labels
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
@@ -16,7 +16,7 @@ def plain(rows, columns):
     return sorted([repr(round(r[i], 6)) if isinstance(r[i], float) else str(r[i]) for i in order] for r in rows)
 
 
-QUERIES, SQL = catalog.queries() | evidence.queries() | inspections.queries(), catalog.oracle_sql() | evidence.oracle_sql() | inspections.oracle_sql()
+QUERIES, SQL = catalog.queries() | evidence.queries() | inspections.queries() | labels.queries(), catalog.oracle_sql() | evidence.oracle_sql() | inspections.oracle_sql() | labels.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
