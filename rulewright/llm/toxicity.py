@@ -29,6 +29,8 @@ from rulewright.llm.decontaminate import SEPARATE
 from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
 from rulewright.llm.words import numbered_words, text_parts
 
+#: Bytes of text that are counted or scored together.
+PART_BYTES = 2 << 20
 #: The share of a toxic text's words that the toxic model speaks for, and what is added to a feature before its logarithm, by feature.
 SHARE = 0.002
 FLOOR = np.array([1e-3, 1e-2, 1e-2])
@@ -136,7 +138,7 @@ class Model:
 
 def _triples(batches):
     """Distinct words u, v, w in a row, u empty at a text's start, and whether ordinary and toxic texts have them."""
-    for batch in text_parts(batches):
+    for batch in text_parts(batches, PART_BYTES):
         code, strings, first = _numbered(batch.column("text"))
         n, code = len(strings), code.astype(np.int64)
         toxic = np.repeat(batch.column("toxic").to_numpy(), np.diff(first))
@@ -194,7 +196,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Mo
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
-        for batch in text_parts(batches):
+        for batch in text_parts(batches, PART_BYTES):
             found = sent.value.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
@@ -217,7 +219,7 @@ def score_column(documents: DataFrame, model: Model) -> Column:
     @F.pandas_udf("double")
     def toxicity(text: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(sent.value.score(part.column("text")) for part in text_parts([batch]))]))
+        return pd.Series(np.concatenate([np.zeros(0), *(sent.value.score(part.column("text")) for part in text_parts([batch], PART_BYTES))]))
 
     return toxicity(documents["text"].cast("string"))
 

@@ -30,12 +30,12 @@ def hashes(words: pa.Array, seed: int) -> np.ndarray:
     return np.fromiter((digest(w, seed) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
 
-def text_parts(batches):
-    """Slices of record batches with about PART_BYTES of `text` each, at least one row; rows are never split."""
+def text_parts(batches, part_bytes: int = PART_BYTES):
+    """Slices of record batches with about `part_bytes` of `text` each, at least one row; rows are never split."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
         while a < batch.num_rows:
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PART_BYTES, "right")))
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + part_bytes, "right")))
             yield batch.slice(a, b - a)
             a = b
