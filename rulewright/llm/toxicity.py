@@ -74,7 +74,7 @@ def discounts(counts: np.ndarray) -> np.ndarray:
         best = np.maximum(best, (here + base) / ((there + 1) * base))
     n1, n2 = (np.array([(c == k).sum() for c in counts]) for k in (1, 2))
     in_both = counts.min(axis=0) > 0
-    return np.stack([np.where(in_both, (a + 1) / (a + 2 * b + 2), own / best[of(own)]).astype(np.float32) for own, a, b in zip(counts, n1, n2)])
+    return np.stack([np.where(in_both, (a + 1) / (a + 2 * b + 2), own / best[of(own)]) for own, a, b in zip(counts, n1, n2)])
 
 
 def kneser_ney(v: np.ndarray, w: np.ndarray, counts: np.ndarray, n_words: int, block: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
