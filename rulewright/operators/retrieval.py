@@ -1,56 +1,148 @@
-"""Hybrid keyword retrieval over an inverted index: BM25, TF-IDF cosine and their fusion."""
+"""Hybrid keyword retrieval over a stored inverted index: BM25, TF-IDF cosine and their fusion.
+
+The index is made once and written: postings sorted by term, a table of terms with their weights, and one of
+chunks with their lengths and norms. A search reads the postings between its least and its greatest term: files
+and row groups outside are skipped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions.text import tokens
 
 K1, B = 1.5, 0.75
 BM25_SHARE, TFIDF_SHARE = 0.55, 0.45
+#: What a chunk of the very rule that a query names gets on top.
+NAMED_RULE = 0.5
 #: Parts that a term's postings are dealt to where the queries' terms are too many to broadcast.
 SALTS = 16
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder of the cluster's setting; a local session without one gets a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, term, tf, length): term counts of every chunk."""
-    words = chunks.select(key, tokens(text).alias("t")).withColumn("length", F.size("t"))
-    return words.select(key, "length", F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    """(key, term, tf, length): term counts of every chunk, without a shuffle."""
+    words = chunks.select(key, tokens(text).alias("t")).where(F.size("t") > 0)
+    sorted_ = words.select(key, F.size("t").alias("length"), F.array_sort("t").alias("t"))
+    # in a sorted list a term's count is the distance between where it and the next one begin
+    begins = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", F.greatest(i - 1, F.lit(0)))))
+    runs = sorted_.withColumn("b", begins)
+    each = F.transform("b", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("b", k + 1), F.size("t")) - i).cast("long").alias("tf")))
+    return runs.select(key, "length", F.explode(each).alias("e")).select(key, "e.term", "e.tf", "length")
 
 
-def statistics(index: DataFrame, key: str) -> DataFrame:
-    """One row: number of chunks and their mean length, over all chunks with a token."""
-    return index.groupBy(key).agg(F.max("length").alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+@dataclass
+class Index:
+    """Postings (key, term, tf, length) sorted by term, terms (term, df, idf, bm_idf) and norms (key, length, norm), as written tables; chunks with a token, and their mean length."""
 
+    key: str
+    postings: DataFrame
+    terms: DataFrame
+    norms: DataFrame
+    n: int
+    mean_length: float
 
-def search(chunks: DataFrame, key: str, text: Column, queries: DataFrame, k: int = 10, most: int = 1_000_000) -> DataFrame:
+
+def build(chunks: DataFrame, key: str, text: Column, path: str, most: int = 1_000_000) -> Index:
+    """Write the index of all chunks under `path`. Null and empty texts have no postings.
+
+    Postings are shuffled once, into the order of terms. Norms are summed from the chunks again, where a chunk's terms
+    lie together; terms' weights are broadcast for it if they are `most` at most, else joined.
+    """
+    spark = chunks.sparkSession
+    rows = postings(chunks, key, text)
+    rows.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    n = chunks.where(F.size(tokens(text)) > 0).count()
+    df = stored.groupBy("term").agg(F.count("*").alias("df"))
+    weights = df.select("term", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("bm_idf"))
+    weights.write.parquet(f"{path}/terms")
+    terms = spark.read.parquet(f"{path}/terms")
+    idf = terms.select("term", "idf")
+    met = rows.join(F.broadcast(idf) if terms.count() <= most else idf, "term")
+    met.groupBy(key).agg(F.max("length").alias("length"), F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm")).write.parquet(f"{path}/norms")
+    return load(spark, path, key)
+
+
+def load(spark: SparkSession, path: str, key: str) -> Index:
+    """An index that build() wrote."""
+    stored, terms, norms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "norms"))
+    n, mean = norms.agg(F.count("*"), F.avg("length")).first()
+    return Index(key, stored, terms, norms, n, float(mean or 0.0))
+
+
+def requested_rule(query: Column) -> Column:
+    """The rule that a query names, as R6 or R6(1); null if it names none."""
+    named = r"(?i)\brule\s+(\d+[a-z]?)(?:\s*\((\d+[a-z]?)\))?"
+    rule, part = (F.nullif(F.regexp_extract(query, named, i), F.lit("")) for i in (1, 2))
+    return F.lower(F.when(rule.isNotNull(), F.concat(F.lit("R"), rule, F.coalesce(F.concat(F.lit("("), part, F.lit(")")), F.lit("")))))
+
+
+def search_index(index: Index, queries: DataFrame, k: int = 10, most: int = 1_000_000, eligible: DataFrame | None = None) -> DataFrame:
     """Top k chunks of each query (query_id, query): bm25, tfidf and the fused score, rounded to 6 places, ties by key.
 
-    Only postings of query terms are scored. The queries' terms are counted, and broadcast if they are
-    `most` at most; else they are joined by term and salt, so that a frequent term isn't one task's.
+    `eligible` (query_id, key, and optionally rule_id) names the chunks that a query may find; frequencies are those of
+    all chunks. If a query names a rule that one of its eligible chunks has, only those of that rule are found, half a
+    point up. The queries' terms are counted, and broadcast with their weights if they are `most` at most, so that postings are
+    read once, filtered by term; else they are joined by term and salt, so that a frequent term isn't one task's.
     """
-    index = postings(chunks, key, text)
-    stats = statistics(index, key)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = df.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("bm_idf"), (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"), "avgdl")
-    weighed = index.join(terms, "term")
-    norms = weighed.groupBy(key).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+    key = index.key
+    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
+    path = scratch(queries.sparkSession, "asked")
+    asked.write.parquet(path)
+    asked = queries.sparkSession.read.parquet(path)
     small = asked.count() <= most
+    each = F.broadcast if small else lambda x: x
     if small:
-        hits = weighed.join(F.broadcast(asked), "term")
+        ends = asked.agg(F.min("term"), F.max("term")).first()
+        hits = index.postings.where(F.col("term").between(*map(F.lit, ends))).join(F.broadcast(asked), "term")
     else:
         salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = weighed.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
-    bm = F.col("qtf") * F.col("bm_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
+        hits = index.postings.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"])
+    bm = F.col("qtf") * F.col("bm_idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(index.mean_length)))
     scores = hits.groupBy("query_id", key).agg(F.sum(bm).alias("bm25"), F.sum(F.col("tf") * F.col("idf") * F.col("qtf") * F.col("idf")).alias("dot"))
-    q_norm = asked.join(terms, "term").groupBy("query_id").agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("q_norm"))
-    each = F.broadcast if small else lambda x: x
-    scored = scores.join(norms, key).join(each(q_norm), "query_id").withColumn("tfidf", F.col("dot") / (F.col("norm") * F.col("q_norm")))
-    tops = scored.groupBy("query_id").agg(F.max("bm25").alias("top_bm25"), F.max("tfidf").alias("top_tfidf"))
+    q_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("q_norm"))
+    scored = scores.join(index.norms.select(key, "norm"), key).join(each(q_norm), "query_id").withColumn("tfidf", F.col("dot") / (F.col("norm") * F.col("q_norm")))
+    named = F.lit(False)
+    if eligible is not None:
+        rules = [c for c in ("rule_id",) if c in eligible.columns]
+        scored = scored.join(eligible.select("query_id", key, *rules), ["query_id", key])
+        if rules:
+            named = F.coalesce(F.lower("rule_id") == F.col("wanted"), F.lit(False))
+            scored = scored.join(queries.select("query_id", requested_rule(F.col("query")).alias("wanted")), "query_id")
+    # written once: a hit is far smaller than its postings, and is read for the greatest scores and for the ranks
+    path = scratch(queries.sparkSession, "scored")
+    scored.withColumn("named", named).select("query_id", key, "bm25", "tfidf", "named").write.parquet(path)
+    scored = queries.sparkSession.read.parquet(path)
+    tops = scored.groupBy("query_id").agg(F.max("bm25").alias("top_bm25"), F.max("tfidf").alias("top_tfidf"), F.max("named").alias("any_named"))
     best = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"top_{c}")), F.lit(0.0))
-    fused = scored.join(each(tops), "query_id").withColumn("score", F.round(BM25_SHARE * best("bm25") + TFIDF_SHARE * best("tfidf"), 6))
-    per = Window.partitionBy("query_id")
-    ranked = fused.withColumn("rank", F.row_number().over(per.orderBy(F.col("score").desc(), key)))
+    fused = scored.join(each(tops), "query_id").where(F.col("named") | ~F.col("any_named"))
+    fused = fused.withColumn("score", F.round(BM25_SHARE * best("bm25") + TFIDF_SHARE * best("tfidf") + F.when(F.col("named"), NAMED_RULE).otherwise(0.0), 6))
+    # the best k of each part of a query's hits first, so that no query's hits are all one task's
+    part = Window.partitionBy("query_id", F.pmod(F.xxhash64(key), F.lit(SALTS))).orderBy(F.col("score").desc(), key)
+    fused = fused.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+    ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)))
     return ranked.where(F.col("rank") <= k).select("query_id", key, F.round("bm25", 6).alias("bm25"), F.round("tfidf", 6).alias("tfidf"), "score", "rank")
+
+
+def search(chunks: DataFrame, key: str, text: Column, queries: DataFrame, k: int = 10, most: int = 1_000_000) -> DataFrame:
+    """search_index() over an index of `chunks` that is made for it, in the shared folder."""
+    return search_index(build(chunks, key, text, scratch(chunks.sparkSession, "index")), queries, k, most)

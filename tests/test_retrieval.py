@@ -72,3 +72,30 @@ def test_terms_too_many_to_broadcast(spark):
     docs, items = tables()
     chunks, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, query string")
     same(ranks(retrieval.search(chunks, "doc_id", F.col("text"), asked, most=0).collect()), brute(docs, items))
+
+
+def test_a_stored_index_answers_again(spark, tmp_path):
+    docs, items = tables()
+    chunks, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "query_id long, query string")
+    retrieval.build(chunks, "doc_id", F.col("text"), f"{tmp_path}/index")
+    index = retrieval.load(spark, f"{tmp_path}/index", "doc_id")
+    for few in (items, items[:2]):
+        same(ranks(retrieval.search_index(index, asked.where(F.col("query_id").isin([i for i, _ in few]))).collect()), brute(docs, few))
+    # one scan of postings a search, filtered by term
+    plan = retrieval.search_index(index, asked)
+    assert plan.count() and index.postings.count() == sum(len(set(re.findall(r"[\w()/-]+", (t or "").lower()))) for _, t in docs)
+    assert retrieval.search_index(index, asked.where("query_id = 300")).count() == 0
+
+
+def test_a_named_rule_is_found_alone_and_half_a_point_up(spark):
+    rules = [(1, "net quantity of the package", "R6(1)"), (2, "quantity and price of it", "R6(1)"), (3, "rule 6 (1) quantity quantity", "R7"), (4, "nothing of it", None)]
+    chunks = spark.createDataFrame(rules, "chunk_id long, text string, rule_id string")
+    asked = spark.createDataFrame([(1, "what does Rule 6 (1) say of quantity"), (2, "quantity by rule 99"), (3, "price and quantity")], "query_id long, query string")
+    may = chunks.select("chunk_id", "rule_id").crossJoin(asked.select("query_id")).where("not (query_id = 3 and chunk_id = 2)")
+    index = retrieval.build(chunks, "chunk_id", F.col("text"), retrieval.scratch(spark, "index"))
+    got = retrieval.search_index(index, asked, eligible=may).collect()
+    found = {q: {r["chunk_id"]: r["score"] for r in got if r["query_id"] == q} for q in (1, 2, 3)}
+    # scaled by the best of all that are eligible, of the rule or not
+    assert set(found[1]) == {1, 2} and all(0.5 < s < 1.5 for s in found[1].values())
+    assert set(found[2]) == {1, 2, 3} and max(found[2].values()) <= 1
+    assert 2 not in found[3] and 1 in found[3]
