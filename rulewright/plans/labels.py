@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions.date_tokens import date_tokens
-from rulewright.operators import label_dates
+from rulewright.operators import company_blocks, label_dates
 from rulewright.sources import stores
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,22 @@ def date_tokens_by_line(spark, d):
     return found.select("image_id", "line_id", F.size("t").cast("long").alias("n_tokens"), F.get("t", F.lit(0))["value"].alias("value"), F.get("t", F.lit(0))["stop"].cast("long").alias("stop"))
 
 
+_SUPPLIED = f"{_NUMBERED} JOIN supplier ON s_suppkey=l_suppkey JOIN nation ON n_nationkey=s_nationkey"
+
+
+@query(f"""SELECT l_orderkey AS image_id, 4*n AS line_id, 'MANUFACTURER' AS role, 'Mfd by' AS label, s_name || ' Foods Ltd' AS company, 'Plot ' || l_partkey || '; ' || n_name || ' ' || (400000+l_partkey) AS address, (400000+l_partkey)::VARCHAR AS pin_code, CASE l_partkey%3 WHEN 0 THEN 'Goa' END AS state, 0.95::DOUBLE AS confidence FROM (SELECT l_orderkey, n, l_partkey, s_name, n_name || CASE l_partkey%3 WHEN 0 THEN ', Goa' ELSE '' END AS n_name FROM {_SUPPLIED})
+ UNION ALL SELECT l_orderkey, 4*n+3, 'MARKETER', 'Marketed by', 'Agency ' || l_suppkey, '', NULL, NULL, 0.90::DOUBLE FROM {_SUPPLIED} WHERE l_partkey%2=1""")
+def company_blocks_by_order(spark, d):
+    supplier, nation, lines = (stores.read_table(spark, f"{d}/{t}.parquet") for t in ("supplier", "nation", "lineitem"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_discount")))
+    met = lines.join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(F.broadcast(nation), F.col("n_nationkey") == F.col("s_nationkey"))
+    part = F.col("l_partkey")
+    place = F.concat("n_name", F.when(part % 3 == 0, ", Goa").otherwise(""), F.lit(" "), (part + 400000).cast("string"))
+    texts = F.array(F.concat(F.lit("Mfd by: "), "s_name", F.lit(" Foods Ltd")), F.concat(F.lit("Plot "), part.cast("string")), place, F.when(part % 2 == 1, F.concat(F.lit("Marketed by Agency "), F.col("l_suppkey").cast("string"))).otherwise("MRP Rs. 20"))
+    rows = met.select(F.col("l_orderkey").alias("image_id"), F.col("n"), F.posexplode(texts).alias("i", "text")).select("image_id", (F.lit(4).cast("long") * F.col("n") + F.col("i")).alias("line_id"), "text")
+    return company_blocks.company_blocks(rows).withColumn("address", F.array_join("address", "; "))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
