@@ -136,5 +136,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    """op13's rows: vectors unnested by component, and a common table for each round."""
+    steps = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT {k}))",
+    ]
+    nearest = "SELECT vec_id, x, min(d) AS distance, arg_min(c, (d, c)) AS c FROM (SELECT vec_id, v.x, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v CROSS JOIN {centroids} c) GROUP BY vec_id, x"
+    for r in range(rounds):
+        steps.append(f"a{r} AS ({nearest.format(centroids=f'c{r}')})")
+        steps.append(f"m{r} AS (SELECT c, list(floor(s / n)::BIGINT ORDER BY i) AS x FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) t(i) GROUP BY c, i) GROUP BY c)")
+        steps.append(f"c{r + 1} AS (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m USING (c))")
+    steps.append(f"z AS ({nearest.format(centroids=f'c{rounds}')})")
+    return f"WITH {', '.join(steps)} SELECT vec_id, z.c::INT AS cluster, distance, (sum(distance) OVER (PARTITION BY z.c))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(e.x, ',')) AS centroid_sha256 FROM z JOIN c{rounds} e ON e.c = z.c"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_centroid_clustering": _kmeans_sql()}
