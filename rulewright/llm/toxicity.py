@@ -18,7 +18,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -30,7 +29,7 @@ from rulewright.llm.labelled import labelled_texts, logistic_fit, sigmoid
 from rulewright.llm.words import numbered_words, text_parts
 
 #: Bytes of text that are counted or scored together.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 #: The share of a toxic text's words that the toxic model speaks for, and what is added to a feature before its logarithm, by feature.
 SHARE = 0.002
 FLOOR = np.array([1e-3, 1e-2, 1e-2])
@@ -216,10 +215,12 @@ def score_column(documents: DataFrame, model: Model) -> Column:
     """The score of each text as a Column of `documents`."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def toxicity(text: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(sent.value.score(part.column("text")) for part in text_parts([batch], PART_BYTES))]))
+    @F.arrow_udf("double")
+    def toxicity(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        found = [sent.value.score(part.column("text")) for part in text_parts([batch], PART_BYTES)]
+        pa.default_memory_pool().release_unused()
+        return pa.array(np.concatenate([np.zeros(0), *found]))
 
     return toxicity(documents["text"].cast("string"))
 
