@@ -7,13 +7,13 @@ and row groups outside are skipped.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions.text import tokens
+from rulewright.sources.scratch import scratch, written
 
 K1, B = 1.5, 0.75
 BM25_SHARE, TFIDF_SHARE = 0.55, 0.45
@@ -23,21 +23,6 @@ NAMED_RULE = 0.5
 SALTS = 16
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared checkpoint folder of the cluster's setting; a local session without one gets a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, term, tf, length): term counts of every chunk, without a shuffle."""
     words = chunks.select(key, tokens(text).alias("t")).where(F.size("t") > 0)
@@ -106,9 +91,7 @@ def search_index(index: Index, queries: DataFrame, k: int = 10, most: int = 1_00
     """
     key = index.key
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(index.terms, "term")
-    path = scratch(queries.sparkSession, "asked")
-    asked.write.parquet(path)
-    asked = queries.sparkSession.read.parquet(path)
+    asked = written(asked, "asked")
     small = asked.count() <= most
     each = F.broadcast if small else lambda x: x
     if small:
@@ -129,9 +112,7 @@ def search_index(index: Index, queries: DataFrame, k: int = 10, most: int = 1_00
             named = F.coalesce(F.lower("rule_id") == F.col("wanted"), F.lit(False))
             scored = scored.join(queries.select("query_id", requested_rule(F.col("query")).alias("wanted")), "query_id")
     # written once: a hit is far smaller than its postings, and is read for the greatest scores and for the ranks
-    path = scratch(queries.sparkSession, "scored")
-    scored.withColumn("named", named).select("query_id", key, "bm25", "tfidf", "named").write.parquet(path)
-    scored = queries.sparkSession.read.parquet(path)
+    scored = written(scored.withColumn("named", named).select("query_id", key, "bm25", "tfidf", "named"), "scored")
     tops = scored.groupBy("query_id").agg(F.max("bm25").alias("top_bm25"), F.max("tfidf").alias("top_tfidf"), F.max("named").alias("any_named"))
     best = lambda c: F.coalesce(F.try_divide(F.col(c), F.col(f"top_{c}")), F.lit(0.0))
     fused = scored.join(each(tops), "query_id").where(F.col("named") | ~F.col("any_named"))

@@ -1,72 +1,39 @@
 """Operators over the boxes of an image: duplicates, fused readings, blocks, parents and one-to-one assignment.
 
-Greedy choices depend on those made before, so they run in pandas, one group of rows per image; an
-image has few boxes, whatever the number of images. What needs no order stays in DataFrame functions.
+Boxes that overlap meet by a grid join, and greedy choices among them are made in rounds (operators/overlaps.py). Blocks of
+lines and assignments depend on all choices made before, and run in pandas, one group of rows per image; an
+image has few boxes, whatever the number of images.
 Boxes are columns x, y, w, h.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions import geometry
+from rulewright.operators import overlaps
+from rulewright.sources.scratch import written
 
 
-def iou_matrix(boxes: np.ndarray) -> np.ndarray:
-    """Intersection over union of every two rows (x, y, w, h)."""
-    x, y, w, h = boxes.astype(float).T
-    wide = np.minimum.outer(x + w, x + w) - np.maximum.outer(x, x)
-    high = np.minimum.outer(y + h, y + h) - np.maximum.outer(y, y)
-    both = np.clip(wide, 0, None) * np.clip(high, 0, None)
-    either = np.add.outer(w * h, w * h) - both
-    return np.divide(both, either, out=np.zeros_like(both), where=either > 0)
-
-
-def _keep_greedily(ordered: pd.DataFrame, clashes: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
-    """Rows in order, without those that clash with a row already kept."""
-    met = clashes(iou_matrix(ordered[["x", "y", "w", "h"]].to_numpy()))
-    kept: list[int] = []
-    for i in range(len(ordered)):
-        if not met[i, kept].any():
-            kept.append(i)
-    return ordered.iloc[kept]
+def _ranked(rows: DataFrame, order: list[str]) -> DataFrame:
+    """With `rank`: the most confident first, then by `order`."""
+    return rows.withColumn("rank", F.struct((-F.col("confidence").cast("double")).alias("a"), *order))
 
 
 def suppress_overlaps(regions: DataFrame, threshold: float = 0.5, image: str = "image_id", kind: str = "kind", order: str = "region_id") -> DataFrame:
-    """Greedy non-maximum suppression within an image's regions of one kind: most confident first, `order` breaking ties."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return _keep_greedily(rows.sort_values(["confidence", order], ascending=[False, True], kind="stable"), lambda iou: iou > threshold)
-
-    return regions.groupBy(image, kind).applyInPandas(one, regions.schema)
+    """Greedy non-maximum suppression within an image's regions of one kind: most confident first, `order`, unlike for any two regions, breaking ties."""
+    return overlaps.leaders(_ranked(regions, [order]), [image, kind], "rank", threshold, strict=True)[0].select(regions.columns)
 
 
 def dedupe_lines(lines: DataFrame, threshold: float = 0.35, image: str = "image_id", order: str = "line_id") -> DataFrame:
     """Of lines of an image with the same letters and digits and overlapping boxes, the most confident. Lines without any are dropped."""
     plain = lines.withColumn("_plain", F.regexp_replace(F.lower("text"), r"(?U)\W+", "")).where("_plain != ''")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return _keep_greedily(rows.sort_values(["confidence", order], ascending=[False, True], kind="stable"), lambda iou: iou >= threshold)
-
-    return plain.groupBy(image, "_plain").applyInPandas(one, plain.schema).drop("_plain")
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance of two short texts."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
+    return overlaps.leaders(_ranked(plain, [order]), [image, "_plain"], "rank", threshold, strict=False)[0].select(lines.columns)
 
 
-FUSED = "text string, x double, y double, w double, h double, confidence double, state string, n_sources int, alternatives array<string>"
 BONUS = 1.12
 
 
@@ -77,31 +44,26 @@ def fuse_readings(readings: DataFrame, threshold: float = 0.40, agree: float = 0
     the group's best if their digit runs are the same and their letters and digits similar. Any
     that doesn't makes the place CONFLICTING, with the others as alternatives; else two sources or
     more make it CORROBORATED, its confidence times 1.12, at most 1; else it is SINGLE_SOURCE.
+    Null texts count as empty; a reading that repeats another in all columns counts once more.
     """
     read = readings.select(image, F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "confidence")), F.col("source").cast("string").alias("source"))
-    read = read.withColumn("plain", F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")).withColumn("digits", F.array_join(F.regexp_extract_all("text", F.lit(r"\d+"), F.lit(0)), " "))
-
-    def agrees(a, b) -> bool:
-        longest = max(len(a.plain), len(b.plain))
-        return a.digits == b.digits and (longest == 0 or 1 - edit_distance(a.plain, b.plain) / longest >= agree)
-
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["confidence", "source", "text"], ascending=[False, True, True], kind="stable")
-        iou, groups = iou_matrix(rows[["x", "y", "w", "h"]].to_numpy()), []
-        for i in range(len(rows)):
-            home = next((g for g in groups if iou[i, g[0]] >= threshold), None)
-            groups.append([i]) if home is None else home.append(i)
-        listed, out = list(rows.itertuples()), []
-        for g in groups:
-            best, others = listed[g[0]], [listed[i] for i in g[1:]]
-            rivals = list(dict.fromkeys(o.text for o in others if not agrees(best, o)))
-            sources = {o.source for o in [best, *others] if o is best or agrees(best, o)}
-            state = "CONFLICTING" if rivals else "CORROBORATED" if len(sources) > 1 else "SINGLE_SOURCE"
-            confidence = min(1.0, best.confidence * BONUS) if state == "CORROBORATED" else best.confidence
-            out.append((key[0], best.text, best.x, best.y, best.w, best.h, confidence, state, len(sources), rivals))
-        return pd.DataFrame(out, columns=[image, *(c.split()[0] for c in FUSED.split(", "))])
-
-    return read.groupBy(image).applyInPandas(one, f"{image} {readings.schema[image].dataType.simpleString()}, {FUSED}")
+    read = written(_ranked(read.withColumn("n", F.monotonically_increasing_id()), ["source", "text", "n"]))
+    best, followers = overlaps.leaders(read, [image], "rank", threshold, strict=False)
+    plain = lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", "")
+    digits = lambda t: F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0))
+    first = best.select(image, F.col("rank").alias("leader"), F.col("text").alias("best"))
+    others = followers.join(read.select(image, "rank", "text", "source"), [image, "rank"]).join(first, [image, "leader"])
+    longest = F.greatest(F.length(plain("text")), F.length(plain("best")))
+    alike = (longest == 0) | (1 - F.levenshtein(plain("text"), plain("best")) / F.greatest(longest, F.lit(1)) >= agree)
+    agrees = (digits("text") == digits("best")) & alike
+    rivals = F.array_sort(F.collect_set(F.when(~agrees, F.struct(F.col("rank"), "text"))))
+    of = others.groupBy(image, F.col("leader").alias("rank")).agg(rivals.alias("rivals"), F.collect_set(F.when(agrees, F.col("source"))).alias("sources"))
+    met = best.join(of, [image, "rank"], "left").withColumn("alternatives", F.array_distinct(F.transform(F.coalesce("rivals", F.array()), lambda r: r["text"])))
+    n = F.size(F.array_union(F.array("source"), F.coalesce("sources", F.array().cast("array<string>"))))
+    state = F.when(F.size("alternatives") > 0, "CONFLICTING").when(n > 1, "CORROBORATED").otherwise("SINGLE_SOURCE")
+    met = met.withColumns({"state": state, "n_sources": n})
+    sure = F.when(F.col("state") == "CORROBORATED", F.least(F.lit(1.0), F.col("confidence") * BONUS)).otherwise(F.col("confidence"))
+    return met.select(image, "text", "x", "y", "w", "h", sure.alias("confidence"), "state", "n_sources", "alternatives")
 
 
 def cluster_blocks(lines: DataFrame, image: str = "image_id", order: str = "line_id") -> DataFrame:

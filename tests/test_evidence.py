@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import geometry
-from rulewright.operators import spatial
+from rulewright.operators import overlaps, spatial
 from rulewright.sources import stores
 
 
@@ -29,6 +29,35 @@ def test_overlaps_are_suppressed_within_a_kind(spark):
     assert spatial.suppress_overlaps(regions.limit(0)).count() == 0
 
 
+def iou(a, b):
+    w, h = (max(0.0, min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k])) for k in (0, 1))
+    either = a[2] * a[3] + b[2] * b[3] - w * h
+    return w * h / either if either > 0 else 0.0
+
+
+def test_greedy_choice_equals_one_box_after_another(spark):
+    rng = np.random.default_rng(3)
+    # many small boxes, some across cells, some equal, a few that cover all, and empty ones
+    rows = [(int(g), i, *map(float, (rng.integers(0, 60), rng.integers(0, 60), *rng.choice([0, 4, 9, 15, 60], 2, p=[0.04, 0.4, 0.36, 0.18, 0.02]))), float(rng.integers(0, 5)) / 4) for i, g in enumerate(rng.integers(0, 3, 260))]
+    rows += [(r[0], 1000 + r[1], *r[2:6], 0.5) for r in rows[:60]]
+    boxes = spark.createDataFrame(rows, "image_id int, region_id long, x double, y double, w double, h double, confidence double").withColumn("kind", F.lit("k")).repartition(5)
+    for threshold in (0.0, 0.35, 0.5):
+        kept = []
+        for r in sorted(rows, key=lambda r: (-r[6], r[1])):
+            if not any(k[0] == r[0] and iou(k[2:6], r[2:6]) > threshold for k in kept):
+                kept.append(r)
+        assert {r["region_id"] for r in spatial.suppress_overlaps(boxes, threshold).collect()} == {r[1] for r in kept}
+
+
+def test_overlapping_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), i, *map(float, rng.integers(1, 40, 4))) for i, g in enumerate(rng.integers(0, 2, 80))]
+    boxes = spark.createDataFrame(rows, "g int, i int, x double, y double, w double, h double")
+    want = {(a[1], b[1]): iou(a[2:], b[2:]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and iou(a[2:], b[2:]) > 0}
+    for cell in (3.0, 17.0, 1000.0):
+        assert {(r["a"], r["b"]): pytest.approx(r["iou"]) for r in overlaps.overlapping(boxes, ["g"], "i", cell).collect()} == want
+
+
 def test_readings_are_fused(spark):
     box = (0.0, 0.0, 10.0, 10.0)
     rows = [("a", "Net 100 g", *box, 0.9, "p"), ("a", "NET 100 g", *box, 0.8, "q"), ("b", "Net 100 g", *box, 0.9, "p"), ("b", "Net 700 g", *box, 0.8, "q"), ("c", None, *box, 0.5, "p")]

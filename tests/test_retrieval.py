@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rulewright.operators import retrieval
 from rulewright.plans import catalog
+from rulewright.sources.scratch import scratch
 
 WORDS = [f"word{i}" for i in range(60)]
 
@@ -92,7 +93,7 @@ def test_a_named_rule_is_found_alone_and_half_a_point_up(spark):
     chunks = spark.createDataFrame(rules, "chunk_id long, text string, rule_id string")
     asked = spark.createDataFrame([(1, "what does Rule 6 (1) say of quantity"), (2, "quantity by rule 99"), (3, "price and quantity")], "query_id long, query string")
     may = chunks.select("chunk_id", "rule_id").crossJoin(asked.select("query_id")).where("not (query_id = 3 and chunk_id = 2)")
-    index = retrieval.build(chunks, "chunk_id", F.col("text"), retrieval.scratch(spark, "index"))
+    index = retrieval.build(chunks, "chunk_id", F.col("text"), scratch(spark, "index"))
     got = retrieval.search_index(index, asked, eligible=may).collect()
     found = {q: {r["chunk_id"]: r["score"] for r in got if r["query_id"] == q} for q in (1, 2, 3)}
     # scaled by the best of all that are eligible, of the rule or not
