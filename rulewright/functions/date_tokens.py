@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rulewright.functions.text import spans
+
 # The forms of dates that are looked for, in the order in which they are tried at a place.
 DAY_MONTH_YEAR = r"(?<!\d)(?<!\d-)\b\d{1,2}\s*[/.-]\s*\d{1,2}\s*[/.-]\s*(?:\d{4}|\d{2})(?!-\d)(?!\d)\b"
 MONTH_NAME_YEAR = r"\b(?:\d{1,2}\s+)?(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\s*(?:[/.-]|\s+)?(?:\d{4}|\d{2})\b"
@@ -21,26 +23,12 @@ DATED = r"\b(?:pkd|mfg|mfd|exp|use\s*by|best\s*before)\b"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 CALENDAR = "(?i)" + "|".join(f"(?:{p})" for p in (DAY_MONTH_YEAR, MONTH_NAME_YEAR, YEAR_MONTH_DAY, MONTH_YEAR, MONTH_SHORT_YEAR))
-_SPAN = "array<struct<text: string, start: int, stop: int>>"
 
 
 def has(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """The matches of a pattern as (text, start, stop), from 0, left to right: what splitting at the pattern leaves tells where they stand."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-
-    def add(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["match"])
-        return F.struct(stop.alias("at"), F.concat(done["out"], F.array(F.struct(pair["match"].alias("text"), start.alias("start"), stop.alias("stop")))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda done: done["out"])
-
-
 def _year(digits: Column) -> Column:
     """Four digits; of two, those under 50 are of this century."""
     n = digits.try_cast("int")

@@ -9,6 +9,7 @@ TOKEN = r"(?U)[\w()/-]+"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"1800[- ]?\d{3}[- ]?\d{3,4}|\+?\d{2,4}[- ]\d{3,5}[- ]\d{4,6}|\b[6-9]\d{9}\b"
 PIN = r"\b[1-9]\d{5}\b"
+_SPAN = "array<struct<text: string, start: int, stop: int>>"
 
 
 def tokens(text: Column) -> Column:
@@ -95,7 +96,30 @@ def licence_number(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?<!\d)([12]\d{13})(?!\d)", 1), F.lit(""))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """The matches of a pattern as (text, start, stop), from 0, left to right: what splitting at the pattern leaves tells where they stand."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def add(done: Column, pair: Column) -> Column:
+        start = done["at"] + F.length(pair["gap"])
+        stop = start + F.length(pair["match"])
+        return F.struct(stop.alias("at"), F.concat(done["out"], F.array(F.struct(pair["match"].alias("text"), start.alias("start"), stop.alias("stop")))).alias("out"))
+
+    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda done: done["out"])
+
+
 def json_object(text: Column) -> Column:
-    """The JSON object inside a fenced or bare reply, as text; null if it doesn't parse."""
-    bare = F.regexp_extract(F.regexp_replace(text, "```(?:json)?", ""), r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(bare).isNotNull(), bare)
+    """The JSON object of a reply, as text: all of it but a code fence, or its first object whose braces balance, strings and escapes in them aside; null if that doesn't parse. An object that is cut off isn't mended."""
+    fenced = F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\n?", ""), r"\n?```\s*$", "")
+    bare = F.trim(F.when(F.startswith(F.trim(text), F.lit("```")), fenced).otherwise(F.trim(text)), F.lit(" \n\r\t"))
+    from_brace = F.substring(bare, F.locate("{", bare), F.length(bare))
+    marks = spans(from_brace, r'(?s)"(?:\\.|[^"\\])*(?:"|$)|[{}]')
+
+    def step(at: Column, mark: Column) -> Column:
+        depth = at["depth"] + F.when(mark["text"] == "{", 1).when(mark["text"] == "}", -1).otherwise(0)
+        return F.when(at["stop"] > 0, at).otherwise(F.struct(depth.alias("depth"), F.when((depth == 0) & (mark["text"] == "}"), mark["stop"]).otherwise(0).alias("stop")))
+
+    stop = F.aggregate(marks, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("stop")), step, lambda at: at["stop"])
+    first = F.when(F.contains(bare, F.lit("{")) & (stop > 0), F.substring(from_brace, F.lit(1), stop))
+    return F.when(F.startswith(bare, F.lit("{")) & F.try_parse_json(bare).isNotNull(), bare).otherwise(F.when(F.try_parse_json(first).isNotNull(), first))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulewright.functions import similarity, text
 from rulewright.operators import cases, joins, spatial
 from rulewright.sources import stores
 
@@ -157,6 +158,19 @@ def post_summary(spark, d):
     return cases.summary(cases.process(_posts(spark, d))).select("city", "category", "posts")
 
 
+@query("SELECT event_id, props AS object FROM events")
+def reply_objects(spark, d):
+    reply = F.concat(F.lit("Here it is: "), "props", F.lit(' or {"b": 2} }'))
+    return _t(spark, d, "events").select("event_id", text.json_object(reply).alias("object"))
+
+
+@query()
+def part_name_similarity(spark, d):
+    part = _t(spark, d, "part")
+    following = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.upper("p_name").alias("read"))
+    return similarity.compare_values(part.select("p_partkey", F.col("p_name").alias("stated")).join(following, "p_partkey"), "stated", "read")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
