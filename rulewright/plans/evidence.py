@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulewright.functions import similarity, text
-from rulewright.operators import cases, joins, spatial, visual
+from rulewright.operators import cases, joins, localise, spatial, visual
 from rulewright.sources import stores
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,6 +193,21 @@ def price_changes(spark, d):
     return visual.price_changes(*_looks(spark, d), "vec_id", 64, "label", least=0.6)
 
 
+@query("""WITH e AS (SELECT o_orderkey AS face, o_custkey % 50 + 1 AS n, (o_orderkey%5*40)::DOUBLE AS x, (o_custkey%5*40)::DOUBLE AS y FROM orders),
+c AS (SELECT l_orderkey AS face, min(l_orderkey*10+l_linenumber) AS id, l_quantity::INT AS n, (l_partkey%9*30)::DOUBLE AS x, (l_suppkey%7*30)::DOUBLE AS y, (40+l_partkey%3*20)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+g AS (SELECT e.face, c.id, e.n AS en, c.n AS cn, greatest(0, least(e.x+60, c.x+c.w)-greatest(e.x, c.x))*greatest(0, least(e.y, c.y)+20-greatest(e.y, c.y)) AS both_, 1200+c.w*20 AS sum_, least(1200, c.w*20)/greatest(1200, c.w*20) AS size, sqrt((e.x+30-c.x-c.w/2)**2+(e.y-c.y)**2)/500 AS far FROM e JOIN c USING (face)),
+p AS (SELECT *, 0.4::DOUBLE*(both_/(sum_-both_)) + 0.4::DOUBLE*greatest(0, 1-least(1, far)*2.5::DOUBLE) + 0.2::DOUBLE*size AS place FROM g),
+s AS (SELECT face, id, round(CASE WHEN en=cn THEN least(1, least(1, place+0.25::DOUBLE)+0.3::DOUBLE) ELSE least(1, place+0.125::DOUBLE)*0.7::DOUBLE END, 9) AS score FROM p),
+r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY face ORDER BY score DESC, id))
+SELECT o_orderkey AS face_id, id AS candidate_id, round(score, 6) AS score, round(next, 6) AS runner_up, CASE WHEN score >= 0.7 AND NOT coalesce(score-next < 0.05 AND score < 0.85, false) THEN 'VERIFIED' WHEN score >= 0.3 THEN 'AMBIGUOUS' ELSE 'UNLOCALIZED' END AS status FROM orders LEFT JOIN r ON face=o_orderkey AND k=1""")
+def located_values(spark, d):
+    k, size = F.col("o_orderkey"), [F.lit(60).alias("w"), F.lit(20).alias("h"), F.lit(400).alias("width"), F.lit(300).alias("height")]
+    stated = _t(spark, d, "orders").select(k.alias("evidence_id"), k.alias("face_id"), F.lit("net_quantity").alias("field"), F.concat(F.lit("Qty "), (F.col("o_custkey") % 50 + 1).cast("string")).alias("text"), (k % 5 * 40).alias("x"), (F.col("o_custkey") % 5 * 40).alias("y"), *size)
+    shown = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("face_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("qty: "), F.col("l_quantity").cast("int").cast("string")).alias("text"), (F.col("l_partkey") % 9 * 30).alias("x"), (F.col("l_suppkey") % 7 * 30).alias("y"), (40 + F.col("l_partkey") % 3 * 20).alias("w"), F.lit(20).alias("h"))
+    shown = shown.groupBy("face_id", "text", "x", "y", "w", "h").agg(F.min("id").alias("candidate_id"))
+    return localise.locate(stated, shown).drop("evidence_id", "field")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
