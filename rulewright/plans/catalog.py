@@ -62,14 +62,15 @@ def rule_status_counts(spark, d):
     return rules.evaluate(*_lines(spark, d)).groupBy("rule_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT a, b, CASE WHEN a=0 OR b=0 THEN 0 WHEN a=2 OR b=2 THEN 2 ELSE 1 END AS k_and, CASE WHEN a=1 OR b=1 THEN 1 WHEN a=2 OR b=2 THEN 2 ELSE 0 END AS k_or, CASE a WHEN 2 THEN 2 ELSE 1-a END AS k_not
- FROM (VALUES (0),(1),(2)) x(a), (VALUES (0),(1),(2)) y(b)""")
+@query("""SELECT c_custkey, a, b, CASE WHEN a=0 OR b=0 THEN 0 WHEN a=2 OR b=2 THEN 2 ELSE 1 END AS k_and, CASE WHEN a=1 OR b=1 THEN 1 WHEN a=2 OR b=2 THEN 2 ELSE 0 END AS k_or, CASE a WHEN 2 THEN 2 ELSE 1-a END AS k_not
+ FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 2 ELSE (c_custkey % 2)::INT END AS a, CASE WHEN c_nationkey < 8 THEN 2 ELSE c_nationkey % 2 END AS b FROM customer)""")
 def k3_truth_table(spark, d):
-    x = spark.range(9).select((F.col("id") % 3).cast("int").alias("a"), F.floor(F.col("id") / 3).cast("int").alias("b"))
+    flag = lambda unknown, c: F.when(unknown, 2).otherwise(c.cast("int"))
+    x = _t(spark, d, "customer").select("c_custkey", flag(F.col("c_acctbal") < 0, F.col("c_custkey") % 2).alias("a"), flag(F.col("c_nationkey") < 8, F.col("c_nationkey") % 2).alias("b"))
     e = Evidence({}, {k: F.when(F.col(k) < 2, F.col(k)) for k in "ab"})
     leaf = [{"op": "boolean", "field": k} for k in "ab"]
     code = lambda c: F.when(c.isNull(), 2).otherwise(c.cast("int"))
-    return x.select("a", "b", *(code(compile_condition(n, e).value).alias(k) for k, n in (("k_and", {"op": "and", "args": leaf}), ("k_or", {"op": "or", "args": leaf}), ("k_not", {"op": "not", "args": leaf[:1]}))))
+    return x.select("c_custkey", "a", "b", *(code(compile_condition(n, e).value).alias(k) for k, n in (("k_and", {"op": "and", "args": leaf}), ("k_or", {"op": "or", "args": leaf}), ("k_not", {"op": "not", "args": leaf[:1]}))))
 
 
 def _flags(frame, keys, e, **nodes):
@@ -210,9 +211,11 @@ def asof_rule_version(spark, d):
     return relational.as_of_version(_t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), F.broadcast(_versions(spark)), ["o_orderstatus"], "o_orderdate", ["version"]).select("o_orderkey", "version")
 
 
-@query(f"SELECT k AS o_orderstatus, v AS version, pv AS prev_version FROM (SELECT *, lag(v) OVER w pv, lag(b) OVER w pb FROM {_VERSIONS} t(k,v,a,b) WINDOW w AS (PARTITION BY k ORDER BY a, v)) WHERE pv IS NOT NULL AND (pb IS NULL OR a < pb)")
+@query("""SELECT o_custkey, version, pv AS prev_version FROM (SELECT *, lag(version) OVER w AS pv, lag(b) OVER w AS pb, row_number() OVER w AS n FROM (SELECT o_custkey, o_orderkey AS version, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate::DATE + (o_orderkey % 400)::INT END AS b FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY a, version)) WHERE n > 1 AND (pb IS NULL OR a < pb)""")
 def interval_overlap_check(spark, d):
-    return relational.interval_overlaps(_versions(spark), ["o_orderstatus"]).select("o_orderstatus", "version", "prev_version")
+    day = F.to_date("o_orderdate")
+    versions = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("version"), day.alias("effective_from"), F.when(F.col("o_orderkey") % 7 > 0, F.date_add(day, (F.col("o_orderkey") % 400).cast("int"))).alias("effective_to"))
+    return relational.interval_overlaps(versions, ["o_custkey"]).select("o_custkey", "version", "prev_version")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size<=10 THEN 1.0 WHEN p_size<=25 THEN 2.0 WHEN p_size<=40 THEN 4.0 ELSE 6.0 END::DOUBLE AS min_height FROM part")
