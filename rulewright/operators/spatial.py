@@ -141,6 +141,23 @@ def least_cost_assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def sequence_consistency(labels: DataFrame, candidates: DataFrame, image: str = "image_id", slack: float = 50.0) -> DataFrame:
+    """candidates (field, y, inline) with `sequence`: of an image's other labels, the share that a value lies on the same side of as its own label does.
+
+    Labels (field, y; one a field) count if their field has candidates, from the top, equal heights by field. A value above
+    a later label, or up to `slack` below it, is in order, and so the other way. Inline values and those without a
+    place have 0.8; all have 0.5 where fewer than two labels count, and null where the field's own label is missing.
+    """
+    used = labels.join(candidates.select(image, "field").distinct(), [image, "field"], "left_semi")
+    order = used.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), "field"))).alias("_order"))
+    met = candidates.join(order, image, "left")
+    rank, y, n = F.array_position(F.transform("_order", lambda x: x["field"]), F.col("field")), F.col("y").cast("double"), F.coalesce(F.size("_order"), F.lit(0))
+    marked = F.transform("_order", lambda x, i: ((rank < i + 1) & (y <= x["y"] + slack)) | ((rank > i + 1) & (y >= x["y"] - slack)))
+    share = F.size(F.filter(marked, lambda hit: hit)) / F.greatest(n - 1, F.lit(1))
+    score = F.when(F.col("_order").isNull() | (n < 2), 0.5).when(rank == 0, F.lit(None)).when(F.coalesce("inline", F.lit(False)) | y.isNull(), 0.8).otherwise(share)
+    return met.withColumn("sequence", score).drop("_order")
+
+
 ASSIGNED = "field string, value_id long, score double, margin double, status string"
 
 

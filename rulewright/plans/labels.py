@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions.date_tokens import date_tokens
-from rulewright.operators import company_blocks, label_dates
+from rulewright.operators import company_blocks, label_dates, spatial
 from rulewright.sources import stores
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,6 +88,20 @@ def date_tokens_by_line(spark, d):
     return found.select("image_id", "line_id", F.size("t").cast("long").alias("n_tokens"), F.get("t", F.lit(0))["value"].alias("value"), F.get("t", F.lit(0))["stop"].cast("long").alias("stop"))
 
 
+@query(f"""WITH l AS (SELECT o_orderkey AS image_id, f AS field, (o_orderkey * (f + 3) % 11 * 30)::DOUBLE AS y FROM orders, (VALUES (0), (1), (2)) t(f)),
+c AS (SELECT l_orderkey AS image_id, l_partkey % 4 AS field, n AS value_id, (l_suppkey % 12 * 30)::DOUBLE AS y, l_returnflag = 'R' AS inline FROM {_NUMBERED}),
+u AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y, field) AS r, count(*) OVER (PARTITION BY image_id) AS n FROM l WHERE EXISTS (SELECT 1 FROM c WHERE c.image_id = l.image_id AND c.field = l.field)),
+m AS (SELECT c.*, o.r, coalesce(x.n, 0) AS n, (SELECT count(*) FROM u WHERE u.image_id = c.image_id AND ((o.r < u.r AND c.y <= u.y + 50) OR (o.r > u.r AND c.y >= u.y - 50))) AS hits FROM c LEFT JOIN u o ON o.image_id = c.image_id AND o.field = c.field LEFT JOIN (SELECT DISTINCT image_id, n FROM u) x ON x.image_id = c.image_id)
+SELECT image_id, field, value_id::BIGINT AS value_id, round(CASE WHEN n < 2 THEN 0.5 WHEN r IS NULL THEN NULL WHEN inline THEN 0.8 ELSE hits / (n - 1) END::DOUBLE, 6) AS sequence FROM m""")
+def label_sequence_consistency(spark, d):
+    orders, lines = (stores.read_table(spark, f"{d}/{t}.parquet") for t in ("orders", "lineitem"))
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_discount")))
+    k, f = F.col("o_orderkey"), F.col("field")
+    labels = orders.select(k, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("field")).select(k.alias("image_id"), f, (k * (f + 3) % 11 * 30).cast("double").alias("y"))
+    values = lines.select(F.col("l_orderkey").alias("image_id"), (F.col("l_partkey") % 4).alias("field"), F.col("n").cast("long").alias("value_id"), (F.col("l_suppkey") % 12 * 30).cast("double").alias("y"), (F.col("l_returnflag") == "R").alias("inline"))
+    return spatial.sequence_consistency(labels, values).select("image_id", "field", "value_id", F.round("sequence", 6).alias("sequence"))
+
+
 _SUPPLIED = f"{_NUMBERED} JOIN supplier ON s_suppkey=l_suppkey JOIN nation ON n_nationkey=s_nationkey"
 
 

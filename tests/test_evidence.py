@@ -104,3 +104,11 @@ def test_children_are_replaced_for_their_parents_only(spark, tmp_path):
     stores.replace_children(spark.createDataFrame([(1, "a"), (2, "b")], "fact int, parent string"), path, "parent")
     stores.replace_children(spark.createDataFrame([(3, "a")], "fact int, parent string"), path, "parent")
     assert {(r.fact, r.parent) for r in spark.read.parquet(path).collect()} == {(3, "a"), (2, "b")}
+
+
+def test_sequence_consistency(spark):
+    labels = spark.createDataFrame([("i", "a", 0.0), ("i", "b", 100.0), ("i", "c", 200.0), ("i", "unused", 50.0), ("j", "a", 0.0)], "image_id string, field string, y double")
+    rows = [("i", 1, "a", 10.0, False), ("i", 2, "a", 190.0, False), ("i", 3, "b", 400.0, False), ("i", 4, "c", 200.0, False), ("i", 5, "b", None, False), ("i", 6, "c", 0.0, True), ("i", 7, "nolabel", 0.0, False), ("j", 8, "a", 0.0, False), ("k", 9, "a", 0.0, False)]
+    values = spark.createDataFrame(rows, "image_id string, value_id int, field string, y double, inline boolean")
+    got = {r.value_id: r.sequence for r in spatial.sequence_consistency(labels, values).collect()}
+    assert got == {1: 1.0, 2: 0.5, 3: 0.5, 4: 1.0, 5: 0.8, 6: 0.8, 7: None, 8: 0.5, 9: 0.5}
