@@ -44,7 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written in the shared checkpoint folder and read again."""
+    """All stages over `documents`; each one's result is written in the shared checkpoint folder and read again.
+
+    Each stage works on rows, whatever their ids: null and empty texts have no words and go with the quality rules,
+    repeated rows go with near duplicates but for one, and rows that only share an id, or have none, stay apart. Extra
+    columns stay until packing. An empty table gives an empty result.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")

@@ -63,7 +63,7 @@ class Model:
 
 
 def train(labelled: DataFrame, max_rows: int = 4_000, landmarks: int = 256, ridge: float = 1e-2, bins: int = BINS) -> Model:
-    """Fit on `labelled` (doc_id, text, lang), of which about `max_rows` rows at most are used, spread over languages; null lang or text and texts without letters are left out."""
+    """Fit on `labelled` (doc_id, text, lang), of which about `max_rows` rows at most are used, spread over languages; null lang or text and texts without letters are left out. Repeated rows count each, extra columns are ignored, and with nothing left nothing is learned: every text is UNKNOWN."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     n = max(1, rows.select("lang").distinct().count())
     sample, _ = bounded_sample(rows, "lang", max_rows, n)
@@ -102,7 +102,7 @@ def _turns(langs: list[str]) -> list[int]:
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, lang_pred and score. A null text, or one without letters, gets UNKNOWN and 0."""
+    """Per row: doc_id, lang_pred and score. A null text, or one without letters, gets UNKNOWN and 0. Repeated rows and rows without doc_id are judged each; extra columns are ignored; an empty table gives an empty result."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

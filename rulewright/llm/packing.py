@@ -108,7 +108,7 @@ def pack(cut: DataFrame, capacity: int = 2048, salts: int | None = None) -> Data
 
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """Tokenise, cut and pack all documents; see pieces() and pack(). Extra columns are ignored."""
+    """Tokenise, cut and pack all documents; see pieces() and pack(). A null text is its end alone; repeated rows and rows without doc_id are packed each; extra columns are ignored; an empty table gives an empty result."""
     return pack(cut_lineage(pieces(documents, tokenizer_path, capacity, end_id)), capacity)
 
 

@@ -97,7 +97,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000, shard
 
 
 def score(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Per row: doc_id and score, 0 to 1, higher for better text. Null and empty texts get the intercept's score."""
+    """Per row: doc_id and score, 0 to 1, higher for better text. Null and empty texts get the intercept's score; repeated rows and rows without doc_id are scored each; extra columns are ignored; an empty table gives an empty result."""
     sent = documents.sparkSession.sparkContext.broadcast(weights)
     size = len(weights) - 1
 

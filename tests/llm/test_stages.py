@@ -44,3 +44,13 @@ def test_contaminated_rows_go_alone(spark, tmp_path):
     assert counts(clean) == Counter(r for r in rows if r[1] != A)
     bench = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
     assert counts(decontaminate.decontaminate(table(spark, rows), bench)) == Counter([(6, D)])
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    folder, docs = str(tmp_path), spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, BENCH)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
