@@ -20,6 +20,8 @@ from rulewright.sources.scratch import scratch, written
 
 #: TOKEN without its flag, which is Python's default.
 PLAIN_TOKEN = TOKEN.removeprefix("(?U)")
+#: Postings that a worker gathers at a time.
+POSTINGS = 50_000
 K1, B = 1.5, 0.75
 BM25_SHARE, TFIDF_SHARE = 0.55, 0.45
 #: What a chunk of the very rule that a query names gets on top.
@@ -29,18 +31,25 @@ SALTS = 16
 
 
 def _counted(batches, key: str):
-    """Of each text its distinct terms, how often it has each, and its length."""
+    """Of each text its distinct terms, how often it has each, and its length; batches of POSTINGS or a text's at most."""
     term = re.compile(PLAIN_TOKEN)
     for batch in batches:
-        ids, terms, times, lengths, kept = batch.column(key), [], [], [], []
-        for row, text in enumerate(batch.column("text").to_pylist()):
-            if text and (found := term.findall(text.lower())):
+        ids, rows, terms, times, lengths = batch.column(key), [], [], [], []
+
+        def made(ids=ids):
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(times, pa.int64()), pa.array(lengths, pa.int32())], names=[key, "term", "tf", "length"])
+
+        for row, text in enumerate(batch.column("text")):
+            if found := term.findall((text.as_py() or "").lower()):
                 counts = Counter(found)
                 terms += counts.keys()
                 times += counts.values()
-                kept += [row] * len(counts)
+                rows += [row] * len(counts)
                 lengths += [len(found)] * len(counts)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(kept, pa.int64())), pa.array(terms, pa.string()), pa.array(times, pa.int64()), pa.array(lengths, pa.int32())], names=[key, "term", "tf", "length"])
+            if len(terms) >= POSTINGS:
+                yield made()
+                rows, terms, times, lengths = [], [], [], []
+        yield made()
 
 
 def postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
