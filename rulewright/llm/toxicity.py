@@ -176,6 +176,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Mo
     sample = cut_lineage(sample)
     part = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4))
     triples = sample.where(part > 0).select("text", "toxic").mapInArrow(_triples, "u string, v string, w string, ordinary long, toxic long")
+    triples = triples.repartition("v", "w")  # one shuffle for both groupings
     for key, count in ((("u", "v", "w"), F.max), (("v", "w"), F.sum)):
         triples = triples.groupBy(*key).agg(count("ordinary").alias("ordinary"), count("toxic").alias("toxic"))
     table = triples.toArrow()
@@ -200,6 +201,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> Mo
             yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     left = sample.where(part == 0).select("text", "toxic").mapInArrow(measure, "x array<double>, toxic int").toArrow()
+    sent.destroy()  # each executor has a copy; scoring sends the whole model
     x, y = np.array(left.column(0).to_pylist(), float).reshape(-1, len(FLOOR)), left.column(1).to_numpy()
     if len(x):
         model.curve = _curve(x, y, np.array([weight[k] for k in y.tolist()]))
