@@ -19,7 +19,9 @@ ENDED_BY = {"MARKETER": MAKER, "MANUFACTURER": SELLER, "PACKER": SELLER}
 # Other declarations, words of companies, codes and states.
 DECLARATION = r"\b(?:m\.?r\.?p\.?|net\s*qty|mfg\.?\s*date|batch|exp\.?\s*date|best\s*before)\b"
 COMPANY = r"\b(?:pvt\.?\s*ltd\.?|private\s+limited|ltd\.?|limited|inc\.?|llp|corp\.?|industries|laboratories|pharmaceuticals|wellness|products)\b"
-PIN = r"(?i)\b(?:pin(?:\s*code)?\s*[:\-–=]*\s*)?([1-9][0-9]{5})\b"
+# A number of a plot or survey is no code, however many digits it has.
+NO_PLOT = r"(?<!\b(?:plot|survey|gat|khasra)\s{0,2}(?:no)?[\s.:#-]{0,3})"
+PIN = rf"(?i){NO_PLOT}\b(?:pin(?:\s*code)?\s*[:\-–=]*\s*)?([1-9][0-9]{{5}})\b"
 STATES = "Maharashtra,Tamil Nadu,Karnataka,Gujarat,Delhi,Uttar Pradesh,Haryana,Punjab,West Bengal,Telangana,Andhra Pradesh,Kerala,Rajasthan,Madhya Pradesh,Bihar,Odisha,Assam,Goa,Uttarakhand,Himachal Pradesh,Jharkhand,Chhattisgarh"
 STATE = rf"\b(?:{STATES.replace(' ', chr(92) + 's*').replace(',', '|')})\b"
 EDGES, INLINE_EDGES = " |;,.", " :–-=|"
@@ -61,11 +63,12 @@ def block(role: Column, inline: Column, following: Column) -> Column:
     return F.aggregate(following, F.struct(F.lit(True).alias("open"), first.alias("kept")), step, lambda s: s["kept"])
 
 
-def company_blocks(lines: DataFrame, image: str = "image_id", order: str = "line_id") -> DataFrame:
+def company_blocks(lines: DataFrame, image: str = "image_id", order: str = "line_id", code: str = PIN) -> DataFrame:
     """One row for each line with a role's label: role, label, company, address (array), pin_code, state and confidence.
 
     The company is the first line with a company's word or of six characters, else the first; the rest is the address. A
-    label without lines has no company and a confidence of 0. Null and blank texts are left out.
+    label without lines has no company and a confidence of 0. Null and blank texts are left out. The code is the first that
+    `code` finds as its first group.
     """
     clean = lines.select(image, order, F.col("text").cast("string").alias("raw"), F.trim(F.col("text").cast("string"), F.lit(EDGES)).alias("text")).where("text != ''")
     following = F.collect_list("text").over(Window.partitionBy(image).orderBy(order).rowsBetween(1, MOST))
@@ -87,7 +90,7 @@ def company_blocks(lines: DataFrame, image: str = "image_id", order: str = "line
         "label",
         company.alias("company"),
         F.concat(F.slice("lines", F.lit(1), F.col("at")), F.slice("lines", F.col("at") + 2, F.greatest(F.size("lines"), F.lit(1)))).alias("address"),
-        first(PIN, 1).alias("pin_code"),
+        first(code, 1).alias("pin_code"),
         first("(?i)" + STATE, 0).alias("state"),
         F.when(company.isNull(), 0.0).when(_has(company, COMPANY), 0.95).otherwise(0.90).alias("confidence"),
     )

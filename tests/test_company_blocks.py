@@ -54,3 +54,11 @@ def test_codes_states_and_confidence(spark):
     assert (got[1]["company"], got[1]["address"], got[1]["pin_code"], got[1]["state"], got[1]["confidence"]) == ("Sun Wellness", ["Sun", "Nr. Lake, Tamil Nadu - PIN: 600001"], "600001", "Tamil Nadu", 0.95)
     assert got[2]["company"] is None and got[2]["confidence"] == 0.0 and got[2]["role"] == "PACKER"
     assert got[3]["company"] == "Q R" and got[3]["confidence"] == 0.90 and got[3]["address"] == ["x"]
+
+
+def test_numbers_of_plots_are_no_codes(spark):
+    rows = [(1, 1, "Mfd by: A Foods Ltd"), (1, 2, "Plot 100000"), (1, 3, "Goa 500000"), (2, 1, "Mfd by: A Foods Ltd"), (2, 2, "PLOT NO. 123456, Goa - PIN: 403001"), (3, 1, "Mfd by: A Foods Ltd"), (3, 2, "Plot 700000"), (3, 3, "Goa 1100000")]
+    lines = spark.createDataFrame(rows, "image_id int, line_id int, text string")
+    assert {x["image_id"]: x["pin_code"] for x in company_blocks.company_blocks(lines).collect()} == {1: "500000", 2: "403001", 3: None}
+    longer = company_blocks.PIN.replace("{5}", "{5,}")
+    assert {x["image_id"]: x["pin_code"] for x in company_blocks.company_blocks(lines, code=longer).collect()} == {1: "500000", 2: "403001", 3: "1100000"}
