@@ -128,3 +128,8 @@ def test_affinity_falls_with_a_label_between(spark, seed):
     none, one = (F.array(*(box(0, k) for k in ks)) for ks in ((500,), (y // 2,)))
     r = spark.range(1).select(label_dates.affinity(box(0, 0), box(0, y), none).alias("a"), label_dates.affinity(box(0, 0), box(0, y), one).alias("b")).first()
     assert r["a"] > 0.5 and abs(r["b"] - r["a"] / 4) < 1e-4
+
+
+def test_lines_read_once_keep_equal_dates(spark):
+    rows = lines(spark, [(1, 1, "EXP", 0, 0, 40, 10, 0.9), (1, 2, "05/26", 60, 30, 60, 10, 0.9), (1, 3, "05/26", 60, 52, 60, 10, 0.8)])
+    assert [len(label_dates.candidates(rows, repeated=r).first()["dates"]) for r in (True, False)] == [1, 2]
