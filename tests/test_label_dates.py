@@ -133,3 +133,8 @@ def test_affinity_falls_with_a_label_between(spark, seed):
 def test_lines_read_once_keep_equal_dates(spark):
     rows = lines(spark, [(1, 1, "EXP", 0, 0, 40, 10, 0.9), (1, 2, "05/26", 60, 30, 60, 10, 0.9), (1, 3, "05/26", 60, 52, 60, 10, 0.8)])
     assert [len(label_dates.candidates(rows, repeated=r).first()["dates"]) for r in (True, False)] == [1, 2]
+
+
+def test_sums_in_another_order_are_equal():
+    # 0.3 and 0.1 + 0.2 differ in their last bit: the first date counts
+    assert label_dates.best_assignment(np.array([[0.3, 0.1 + 0.2]]), np.zeros((1, 2)), np.zeros((2, 2))) == ([0], 0.3, 0.3)
