@@ -16,7 +16,8 @@ before it, with its other context words; there the subtree is counted, pruned an
 shuffle does it all, of compressed columns: a row holds a bucket's tokens of one part of a batch.
 Contexts with more tokens than a bucket should hold are *hot*. Their tokens are dealt by one more context
 word, and their own distributions are counted ahead and broadcast, with entries for words of at least the
-share `min_joint` of all tokens (1 / min_joint entries a length at most). The root's frequent words are
+share `min_joint` of all tokens (1 / min_joint entries a length at most). Entries of rarer words are kept in a table;
+buckets ask for those that their tokens meet, by a join, and get them with their tokens. The root's frequent words are
 broadcast likewise. A rare word's count, which gives its root probability, is known in the bucket of the
 tokens that follow it; what a text's buckets found comes together by part of a batch, where both meet.
 """
@@ -48,6 +49,7 @@ class Level:
     rest: np.ndarray  # mass that goes to the parent
     entry: np.ndarray
     share: np.ndarray
+    rarer: bool  # whether there are entries that aren't broadcast
 
 
 @dataclass
@@ -168,8 +170,16 @@ def _table(documents: DataFrame, learn: Column) -> DataFrame:
     return documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
 
 
-def _broadcast_part(rows: DataFrame, depth: int = 2, capacity: int = 1_200_000, min_word: float = 1e-6, min_joint: float = 2.5e-7, hot_share: float = 0.005, min_gain: float = 0.02, discount: float = 0.75) -> Model:
-    """From rows (text, learn): the broadcast part of the model.
+def _rarer_entries(batches, hot: np.ndarray, size: np.ndarray, discount: float):
+    """(entry, share) of entries (c, k, n)."""
+    for batch in batches:
+        c, k = (batch.column(x).to_numpy().view(np.uint64) for x in ("c", "k"))
+        share = (batch.column("n").to_numpy() - discount) / size[_place(hot, c)]
+        yield pa.RecordBatch.from_arrays([pa.array(_mix(c, k).view(np.int64)), pa.array(share)], names=["entry", "share"])
+
+
+def _broadcast_part(rows: DataFrame, depth: int = 2, capacity: int = 1_200_000, min_word: float = 1e-6, min_joint: float = 2.5e-7, hot_share: float = 0.005, min_gain: float = 0.02, discount: float = 0.75) -> tuple[Model, DataFrame | None]:
+    """From rows (text, learn): the broadcast part of the model, and the hot contexts' other entries (entry, share), if any.
 
     A bucket has about `capacity` tokens, and a context of more than half as many is hot, or of more than `hot_share` of all. At most 1 / min_word words, 1 / min_joint entries
     a length and 1 / hot_share or twice all tokens / capacity hot contexts reach the driver.
@@ -184,31 +194,43 @@ def _broadcast_part(rows: DataFrame, depth: int = 2, capacity: int = 1_200_000,
     order = np.argsort(words)
     model = Model(total, types, texts, cut, words[order], n[order], depth, max(1, -(-tokens // capacity)), capacity, min_word, min_gain, discount)
     limit = min(capacity // 2, hot_share * total)
+    # longer hot contexts are made of broadcast entries
+    least = min(min_joint * total, limit)
     often = (n > limit) & (words != END)
     hot, size = words[often], n[often]
     if texts > limit:
         hot, size = np.append(hot, START), np.append(size, texts)
+    rarer = None
     while len(hot) and len(model.hot) < depth:
         order = np.argsort(hot)
         hot, size = hot[order], size[order]
         d = len(model.hot) + 1
         found = rows.select("text", "learn").mapInArrow(lambda b, h=hot, d=d: _hot_entries(b, h, d), "c long, k long, next long, n long").groupBy("c", "k").agg(F.max("next").alias("next"), F.sum("n").alias("n"))
-        entries = found.where(F.col("n") >= min_joint * total).toArrow()
+        found = written(found)
+        entries = found.where(F.col("n") >= least).toArrow()
+        # an entry gives up the discount, whether it is broadcast or not
+        types_of = found.groupBy("c").agg(F.count("*").alias("types"), F.count_if(F.col("n") < least).alias("rarer")).toArrow()
+        kinds, others = np.zeros(len(hot)), types_of.column("rarer").to_numpy().sum()
+        kinds[_place(hot, types_of.column("c").to_numpy().view(np.uint64))] = types_of.column("types").to_numpy()
+        if others:
+            table = found.where(F.col("n") < least).mapInArrow(lambda b, h=hot, s=size: _rarer_entries(b, h, s, discount), "entry long, share double")
+            rarer = table if rarer is None else rarer.unionByName(table)
         c, k, longer, times = (entries.column(x).to_numpy() for x in ("c", "k", "next", "n"))
         at = _place(hot, c.view(np.uint64))
         share = (times - discount) / size[at]
         keys = _mix(c.view(np.uint64), k.view(np.uint64))
         order = np.argsort(keys)
-        model.hot.append(Level(hot, 1 - np.bincount(at, share, minlength=len(hot)), keys[order], share[order]))
+        model.hot.append(Level(hot, discount * kinds / size, keys[order], share[order], bool(others)))
         more = (times > limit) & (k != end)
         hot, size = longer[more].view(np.uint64), times[more]
-    return model
+    return model, rarer
 
 
 #: Columns of a bucket's tokens, in the order of a row's compressed bytes: words, the words before and how many
 #: tokens follow each, texts, hot contexts' lengths and what they make of root probabilities; and of texts that end here their ids, their
-#: numbers of tokens and of known frequent words, and these words' base score.
-KINDS = {"word": np.int32, "before": np.uint64, "run": np.int32, "text": np.int32, "deep": np.int8, "a": np.float64, "b": np.float64, "end": np.int32, "id": np.int64, "has": np.int8, "tokens": np.int32, "known": np.int32, "base": np.float64}
+#: numbers of tokens and of known frequent words, and these words' base score; and tokens whose entry of a hot context isn't broadcast, by
+#: their place here, with the entry's hash and what its share is multiplied by.
+KINDS = {"word": np.int32, "before": np.uint64, "run": np.int32, "text": np.int32, "deep": np.int8, "a": np.float64, "b": np.float64, "end": np.int32, "id": np.int64, "has": np.int8, "tokens": np.int32, "known": np.int32, "base": np.float64, "rarer_at": np.int32, "rarer": np.uint64, "by": np.float64}
 #: Columns of a bucket's results for a part: texts and their scores there; rare words' texts, numbers and counts; texts and numbers of rare
 #: words that a state has an entry for, with what it makes of their root probabilities; and the ends as above.
 FOUND = {"text": np.int32, "score": np.float32, "rare_text": np.int32, "rare": np.int32, "count": np.int32, "held_text": np.int32, "held": np.int32, "a": np.float32, "b": np.float32, "end": np.int32, "id": np.int64, "has": np.int8, "tokens": np.int32, "known": np.int32, "base": np.float64}
@@ -230,6 +252,48 @@ def _unpacked(raw: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
+def _met(tokens: Tokens, model: Model):
+    """Of each token its bucket, and what its hot contexts make of it: their number, a and b. Also tokens without a broadcast entry of a hot context that has more: places, entries, and what their shares are multiplied by."""
+    deep, a, b = np.zeros(len(tokens.word), np.int8), np.zeros(len(tokens.word)), np.ones(len(tokens.word))
+    rarer: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0))]
+    for d, context in enumerate(tokens.contexts(model.depth), 1):
+        # dealt by the shortest context that isn't hot
+        target = context if d == 1 else np.where(deep == d - 1, context, target)
+        if d > len(model.hot):
+            break
+        level = model.hot[d - 1]
+        found = _place(level.context, context)
+        at = np.nonzero((found >= 0) & (deep == d - 1))[0]
+        key = _mix(context[at], tokens.hash[tokens.word[at]])
+        entry = _place(level.entry, key)
+        rest = level.rest[found[at]]
+        a[at] = np.where(entry >= 0, np.append(level.share, 0.0)[entry], 0.0) + rest * a[at]
+        b[at] *= rest
+        deep[at] = d
+        if level.rarer:
+            rarer.append((at[entry < 0], key[entry < 0], b[at[entry < 0]]))
+    if len(model.hot) == model.depth:
+        target = np.where(deep == model.depth, _mix(target, tokens.hash[tokens.word]), target)
+    at, key, own = (np.concatenate(x) for x in zip(*rarer))
+    # longer contexts take their part of a share
+    return ((target >> np.uint64(20)) % np.uint64(model.buckets)).astype(np.int64), deep, a, b, (at, key, b[at] / own)
+
+
+def _asked(batches, model: Model):
+    """(bucket, entry): entries that aren't broadcast and that tokens of a bucket may need, once a part."""
+    for part in text_parts(batches):
+        bucket, _, _, _, (at, key, _) = _met(Tokens.of(part.column("text")), model)
+        pairs = np.unique(np.stack((bucket[at], key.view(np.int64)), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["bucket", "entry"])
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A bucket's entries and shares as a row (bucket, row, tokens), its row being -1."""
+    entry, at = np.unique(table.column("entry").to_numpy().view(np.uint64), return_index=True)
+    packed = _packed([entry, table.column("share").to_numpy()[at]])
+    return pa.table({"bucket": table.column("bucket")[:1], "row": pa.array([-1], pa.int64()), "tokens": pa.array([packed], pa.binary())})
+
+
 def _deal(batches, model: Model):
     """Rows (bucket, row, tokens): a part's tokens by bucket; `row` is that of the part's first text."""
     kinds = [*KINDS.values(), *[np.int32] * (model.depth - 1)]
@@ -242,23 +306,7 @@ def _deal(batches, model: Model):
         place = _place(model.words, tokens.hash)
         place[-1] = -1
         short = np.where(place >= 0, place, _short(tokens.hash)).astype(np.int32)
-        deep, a, b = np.zeros(len(tokens.word), np.int8), np.zeros(len(tokens.word)), np.ones(len(tokens.word))
-        for d, context in enumerate(tokens.contexts(model.depth), 1):
-            # dealt by the shortest context that isn't hot
-            target = context if d == 1 else np.where(deep == d - 1, context, target)
-            if d > len(model.hot):
-                break
-            level = model.hot[d - 1]
-            found = _place(level.context, context)
-            at = np.nonzero((found >= 0) & (deep == d - 1))[0]
-            entry = _place(level.entry, _mix(context[at], tokens.hash[tokens.word[at]]))
-            rest = level.rest[found[at]]
-            a[at] = np.where(entry >= 0, np.append(level.share, 0.0)[entry], 0.0) + rest * a[at]
-            b[at] *= rest
-            deep[at] = d
-        if len(model.hot) == model.depth:
-            target = np.where(deep == model.depth, _mix(target, tokens.hash[tokens.word]), target)
-        bucket = ((target >> np.uint64(20)) % np.uint64(model.buckets)).astype(np.int64)
+        bucket, deep, a, b, (rarer_at, rarer, by) = _met(tokens, model)
         before = tokens.hash[tokens.before(1)]
         order = np.argsort(before)
         order = order[np.argsort(bucket[order].astype(np.uint16) if model.buckets < 1 << 16 else bucket[order], kind="stable")]
@@ -269,15 +317,22 @@ def _deal(batches, model: Model):
         known, base = (np.bincount(tokens.text[usual], x[tokens.word[usual]], minlength=len(size)) for x in (count > 0, model.base(count)))
         earlier = [short[tokens.before(k)] for k in range(2, model.depth + 1)]
         word, text = short[tokens.word], (offset[tokens.text] * 2 + learn[tokens.text]).astype(np.int32)
+        # where each token stands in its bucket
+        in_bucket = np.empty(len(order), np.int64)
+        in_bucket[order] = np.arange(len(order)) - bounds[bucket[order]]
+        rarer_order = np.argsort(bucket[rarer_at], kind="stable")
+        rarer_at, rarer, by = rarer_at[rarer_order], rarer[rarer_order], by[rarer_order]
+        rarer_bounds = np.searchsorted(bucket[rarer_at], np.arange(model.buckets + 1))
         made: tuple[list, list] = ([], [])
         for i in np.nonzero(np.diff(bounds))[0].tolist():
             at = order[bounds[i] : bounds[i + 1]]
+            more = slice(rarer_bounds[i], rarer_bounds[i + 1])
             c = before[at]
             starts = np.nonzero(np.concatenate(([True], c[1:] != c[:-1])))[0]
             some = deep[at]
             hot = np.nonzero(some)[0]
             ends = tokens.text[at[tokens.word[at] == len(tokens.hash) - 2]]
-            columns = [word[at], c[starts], np.diff(np.append(starts, len(c))), text[at], some if len(hot) else some[:0], a[at[hot]], b[at[hot]], offset[ends], ids[ends], has[ends], size[ends], known[ends], base[ends]]
+            columns = [word[at], c[starts], np.diff(np.append(starts, len(c))), text[at], some if len(hot) else some[:0], a[at[hot]], b[at[hot]], offset[ends], ids[ends], has[ends], size[ends], known[ends], base[ends], in_bucket[rarer_at[more]], rarer[more], by[more]]
             made[0].append(i)
             made[1].append(_packed([np.asarray(x, k) for x, k in zip([*columns, *(e[at] for e in earlier)], kinds)]))
         yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array([rows[0]] * len(made[0]), pa.int64()), pa.array(made[1], pa.binary())], names=["bucket", "row", "tokens"])
@@ -296,8 +351,10 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, int]:
 def _score_bucket(table: pa.Table, model: Model) -> pa.Table:
     """Count, prune and use the subtrees of a bucket; a row for each part with its texts' scores and rare words' counts."""
     kinds = [*KINDS.values(), *[np.int32] * (model.depth - 1)]
-    firsts = table.column("row").to_numpy()
-    parts = [_unpacked(x.as_py(), kinds) for x in table.column("tokens")]
+    rows = table.column("row").to_numpy()
+    firsts = rows[rows >= 0]
+    parts = [_unpacked(x.as_py(), kinds) for x, row in zip(table.column("tokens"), rows) if row >= 0]
+    answers = [_unpacked(x.as_py(), [np.uint64, np.float64]) for x, row in zip(table.column("tokens"), rows) if row < 0]
     joined = lambda i: np.concatenate([p[i] for p in parts])
     sizes = [len(p[0]) for p in parts]
     bounds = np.concatenate(([0], np.cumsum(sizes)))
@@ -313,6 +370,10 @@ def _score_bucket(table: pa.Table, model: Model) -> pa.Table:
     deep = np.concatenate([p[4] if len(p[4]) else np.zeros(n, np.int8) for p, n in zip(parts, sizes)])
     a, b = np.zeros(len(number)), np.ones(len(number))
     a[deep > 0], b[deep > 0] = joined(5), joined(6)
+    for entries, shares in answers:
+        asked = _place(entries, joined(14))
+        at = np.concatenate([start + p[13] for start, p in zip(bounds, parts)])
+        np.add.at(a, at[asked >= 0], (np.append(shares, 0.0)[asked] * joined(15))[asked >= 0])
     # the word before, as a token of its own: a rare one's count is known here
     before, run = joined(1), joined(2)
     order, n_first = _ranked(before)
@@ -382,9 +443,13 @@ def score(documents: DataFrame, learn: Column, **options) -> DataFrame:
     none; extra columns are ignored. Options: see _broadcast_part(). To score other texts than those learned from, union both and mark them.
     """
     rows = _table(documents, learn)
-    model = _broadcast_part(rows, **options)
+    model, rarer = _broadcast_part(rows, **options)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     dealt = rows.mapInArrow(lambda b: _deal(b, shared.value), "bucket long, row long, tokens binary")
+    if rarer is not None:
+        asked = rows.select("text").mapInArrow(lambda b: _asked(b, shared.value), "bucket long, entry long")
+        answers = asked.join(rarer, "entry").groupBy("bucket").applyInArrow(_answer, dealt.schema)
+        dealt = dealt.unionByName(answers)
     if model.buckets > int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")):
         dealt = dealt.repartition(model.buckets, "bucket")
     found = dealt.groupBy("bucket").applyInArrow(lambda t: _score_bucket(t, shared.value), "row long, found binary")

@@ -211,6 +211,18 @@ def test_suffix_tree(spark, docs, none, depth):
     assert abs(sum(x["score"] for x in hot) / sum(x[5] for x in want) - 1) < 0.05
 
 
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_suffix_tree_finds_entries_that_are_not_broadcast(spark, depth):
+    r = random.Random(3)
+    vocabulary = [f"w{int(r.paretovariate(0.7))}" for _ in range(400)]
+    rows = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(0, 60))), i % 3 > 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+    scores = lambda least: [r["score"] for r in suffix_tree.score(frame, F.col("learn"), depth=depth, capacity=100, min_joint=least).orderBy("doc_id").collect()]
+    want = scores(0.0)
+    for least in (0.003, 1.0):
+        assert scores(least) == pytest.approx(want, rel=1e-6)
+
+
 def test_suffix_tree_without_training(spark, docs, none):
     got = suffix_tree.score(docs, F.lit(False)).collect()
     assert len(got) == len(awkward()) and {(x["n_known"], x["train_tokens"], x["score"]) for x in got} == {(0, 0, 0.0)}
