@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.operators import nearest
+
 
 def as_of_version(rows: DataFrame, versions: DataFrame, keys: list[str], on: str, columns: list[str]) -> DataFrame:
     """Each row's version in force on a date: effective_from <= date < effective_to, the latest start winning.
@@ -98,9 +100,19 @@ def unit_price(price: Column, quantity: Column) -> Column:
 
 
 def top_similar(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """The k nearest vectors by cosine of each query row (query_id, q); itself left out. The query set is small and counted."""
+    """The k nearest vectors by cosine of each query row (query_id, q); itself left out. Vectors are compared by matrix products (operators/nearest.py).
+
+    Vectors of another length than most, or with a null or non-finite component, are few, and are compared one by one; without a score they come last.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", (dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))).alias("score"))
+    size = vectors.agg(F.mode(F.size("embedding"))).first()[0] or 0
+    whole = lambda x: F.coalesce((F.size(x) == size) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    shape = lambda df, key, x, *keep: df.where(whole(x)).select(F.col(key).alias("vec_id"), *keep, F.col(x).cast("array<double>").alias("x"), dot(F.col(x), F.col(x)).alias("square"), F.array().cast("array<long>").alias("words"))
+    met = nearest.candidates(shape(vectors, "vec_id", "embedding"), shape(queries, "query_id", "q"), "vec_id", k)
+    near = met.select("query_id", "vec_id", F.try_divide("dot", F.sqrt(F.col("square") * F.col("q_square"))).alias("score"))
+    cosine = F.try_divide(dot(F.col("embedding"), F.col("q")), F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q"))))
+    odd = vectors.where(~whole("embedding")).join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).unionByName(vectors.where(whole("embedding")).join(F.broadcast(queries.where(~whole("q"))), F.col("vec_id") != F.col("query_id")))
+    scored = near.unionByName(odd.select("query_id", "vec_id", cosine.alias("score")))
     scored = scored.withColumn("score", F.round("score", 6))
     if least is not None:
         scored = scored.where(F.col("score") >= least)
