@@ -7,7 +7,9 @@ of its boxes made. Boxes that are equal are represented by the best of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulewright.functions import geometry
@@ -25,6 +27,8 @@ def overlapping(boxes: DataFrame, groups: list[str], rank: str, cell: float) ->
     spread = boxes.where((F.col("w") > 0) & (F.col("h") > 0))
     ends = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
     spread = spread.withColumn("cx", F.explode(ends("x", "w"))).withColumn("cy", F.explode(ends("y", "h")))
+    # the same exchange for both sides
+    spread = spread.select(*groups, "cx", "cy", rank, *BOX).repartition(*groups, "cx", "cy")
     left = spread.select(*groups, "cx", "cy", F.col(rank).alias("a"), *(F.col(c).alias(f"a_{c}") for c in BOX))
     right = spread.select(*groups, "cx", "cy", F.col(rank).alias("b"), *(F.col(c).alias(f"b_{c}") for c in BOX))
     owner = (F.floor(F.greatest("a_x", "b_x") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y", "b_y") / cell) == F.col("cy"))
@@ -33,8 +37,8 @@ def overlapping(boxes: DataFrame, groups: list[str], rank: str, cell: float) ->
 
 
 def mean_side(boxes: DataFrame) -> float:
-    """A cell's size: the mean of boxes' sides, 1 at least."""
-    side = boxes.agg(F.avg((F.col("w") + F.col("h")) / 2)).first()[0]
+    """A cell's size: twice the mean of boxes' sides, 1 at least, so that most boxes are in one or two cells."""
+    side = boxes.agg(F.avg(F.col("w") + F.col("h"))).first()[0]
     return max(float(side or 1.0), 1.0)
 
 
@@ -45,13 +49,16 @@ def leaders(rows: DataFrame, groups: list[str], rank: str, threshold: float, str
     (groups, rank, leader): whom each other row was passed over for, the first chosen box that overlaps it so. In each round the boxes that
     no undecided one before them overlaps are chosen, and those that they overlap go; rounds end when no overlap is left.
     """
-    boxes = written(rows.select(*groups, F.col(rank).alias("_rank"), *(F.col(c).cast("double").alias(c) for c in BOX)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    # rows go along, so that they needn't be joined again
+    box = {c: c if kinds[c] == "double" else f"_{c}" for c in BOX}
+    boxes = rows.select("*", *(F.col(c).cast("double").alias(b) for c, b in box.items() if b != c))
     # equal boxes share their fate with the best of them
-    one = boxes.groupBy(*groups, *BOX).agg(F.min("_rank").alias("_first"), F.count("*").alias("_n"))
-    same = (F.col("w") > 0) & (F.col("h") > 0)
-    first = one.select(*groups, *BOX, F.col("_first").alias("_rank"))
+    equal = Window.partitionBy(*groups, *box.values()).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    boxes = written(boxes.withColumn("_first", F.first(rank).over(equal)))
+    first = boxes.where(F.col(rank) == F.col("_first")).select(*groups, *(F.col(b).alias(c) for c, b in box.items()), F.col("_first").alias("_rank"))
     close = (F.col("iou") > threshold) if strict else (F.col("iou") >= threshold)
-    edges = written(overlapping(first, groups, "_rank", cell or mean_side(boxes)).where(close).select(*groups, "a", "b"))
+    edges = written(overlapping(first, groups, "_rank", cell or mean_side(first)).where(close).select(*groups, "a", "b"))
     all_edges, lost = edges, None
     while not edges.isEmpty():
         tops = edges.select(*groups, "a").distinct().join(edges.select(*groups, F.col("b").alias("a")).distinct(), [*groups, "a"], "left_anti")
@@ -61,10 +68,11 @@ def leaders(rows: DataFrame, groups: list[str], rank: str, threshold: float, str
     if lost is None:
         lost = all_edges.select(*groups, "b")
     passed = all_edges.join(lost, [*groups, "b"]).join(lost.withColumnRenamed("b", "a"), [*groups, "a"], "left_anti").groupBy(*groups, "b").agg(F.min("a").alias("leader"))
-    # every row by its representative: the leader it was passed over for, the representative itself, or none
-    whole = boxes.join(one, [*groups, *BOX]).join(passed.withColumnRenamed("b", "_first"), [*groups, "_first"], "left")
-    over = F.coalesce("leader", F.when(same & (F.col("_rank") != F.col("_first")), F.col("_first")))
-    whole = written(whole.select(*groups, F.col("_rank").alias(rank), over.alias("leader")))
-    followers = whole.where("leader is not null")
-    chosen = rows.join(followers.select(*groups, rank), [*groups, rank], "left_anti")
-    return chosen, followers
+    # every row by its representative: the leader it was passed over for, the representative itself, or none; of a row with a null
+    # in its group or box there is none
+    known = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in (*groups, *box.values())))
+    repeats = known & (F.col(box["w"]) > 0) & (F.col(box["h"]) > 0) & (F.col(rank) != F.col("_first"))
+    whole = boxes.join(passed.withColumnRenamed("b", "_first").withColumnRenamed("leader", "_leader"), [*groups, "_first"], "left")
+    whole = written(whole.select(*rows.columns, F.coalesce("_leader", F.when(repeats, F.col("_first"))).alias("_leader")))
+    followers = whole.where("_leader is not null").select(*groups, rank, F.col("_leader").alias("leader"))
+    return whole.where("_leader is null").select(*rows.columns), followers

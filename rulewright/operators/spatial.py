@@ -47,7 +47,10 @@ def fuse_readings(readings: DataFrame, threshold: float = 0.40, agree: float = 0
     Null texts count as empty; a reading that repeats another in all columns counts once more.
     """
     read = readings.select(image, F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h", "confidence")), F.col("source").cast("string").alias("source"))
-    read = written(_ranked(read.withColumn("n", F.monotonically_increasing_id()), ["source", "text", "n"]))
+    # a number for a rank, so that texts aren't dealt with every box
+    order = [F.col(image), -F.col("confidence"), F.col("source"), F.col("text"), F.col("n")]
+    read = read.withColumn("n", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    read = written(read.drop("n").withColumn("rank", F.monotonically_increasing_id()))
     best, followers = overlaps.leaders(read, [image], "rank", threshold, strict=False)
     plain = lambda t: F.regexp_replace(F.lower(t), "[^a-z0-9]", "")
     digits = lambda t: F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0))
