@@ -59,6 +59,18 @@ def test_tokens_equal_the_library(spark):
         assert np.frombuffer(t.ids(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_some_parts_ago_are_not_encoded_again():
+    t, letters = tokens.SegmentTokenizer(tokenizer_path()), "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "x" + "".join(letters[n // 26**k % 26] for k in range(4))
+    texts = [" ".join(map(word, range(a, a + 152_000))) for a in (0, 152_000, 304_000)]
+    made, encode = [], t._words
+    t._words = lambda words: made.append(len(words)) or encode(words)
+    ids = [t.ids(x) for x in [*texts, texts[0]]]
+    assert ids[3] == ids[0] and made[-1] == 0
+    some = " ".join(texts[0].split(" ")[:500])
+    assert np.frombuffer(t.ids(some), "<u4").tolist() == t.tokenizer.encode(some, add_special_tokens=False).ids
+
+
 def test_cut_lengths():
     for n in range(1, 9000, 7):
         cut = packing.cut_lengths(n, 2048)
