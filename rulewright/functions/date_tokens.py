@@ -22,6 +22,7 @@ TELEPHONE = r"\b(?:toll\s*free|helpline|consumer\s*care|call|phone|tel)\b"
 DATED = r"\b(?:pkd|mfg|mfd|exp|use\s*by|best\s*before)\b"
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
+TOKENS = "array<struct<text: string, start: int, stop: int, value: string, is_duration: boolean>>"
 CALENDAR = "(?i)" + "|".join(f"(?:{p})" for p in (DAY_MONTH_YEAR, MONTH_NAME_YEAR, YEAR_MONTH_DAY, MONTH_YEAR, MONTH_SHORT_YEAR))
 
 
@@ -37,27 +38,38 @@ def _year(digits: Column) -> Column:
 
 def value(token: Column) -> Column:
     """YYYY-MM-DD or YYYY-MM of a date; a duration in lower case; null for what is neither, has no such month or day, or a year of 00 after a month only."""
+    return F.when(has(F.trim(token), DURATION), F.lower(F.trim(token))).otherwise(date_value(token))
+
+
+def date_value(token: Column) -> Column:
+    """value() of what has no duration in it, as no match of CALENDAR has."""
     t = F.trim(token)
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    # an array of one, so that a token is taken apart once
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+
+    def number(parts: Column) -> Column:
+        def ordered(pattern: str, year: int, month: int, day: int | None = None) -> Column:
+            y, m, d = (F.get(parts, F.lit(i)).try_cast("int") if i is not None else None for i in (year, month, day))
+            fits = t.rlike(pattern) & m.between(1, 12) & (d.between(1, 31) if day is not None else (F.length(F.get(parts, F.lit(year))) == 4) | (y > 0))
+            return F.when(fits, F.concat_ws("-", *([_year(F.get(parts, F.lit(year))), two(m)] + ([two(d)] if day is not None else []))))
+
+        s = r"\s*[/.-]\s*"
+        return F.coalesce(
+            ordered(rf"^\d{{1,2}}{s}\d{{1,2}}{s}(?:\d{{4}}|\d{{2}})$", 2, 1, 0),
+            ordered(rf"^\d{{1,2}}{s}(?:\d{{4}}|\d{{2}})$", 1, 0),
+            ordered(rf"^\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}$", 0, 1, 2),
+        )
 
-    def numbers(pattern: str, year: int, month: int, day: int | None = None) -> Column:
-        y, m, d = (F.regexp_extract(t, pattern, i).try_cast("int") if i else None for i in (year, month, day))
-        fits = t.rlike(pattern) & m.between(1, 12) & (d.between(1, 31) if day else (F.length(F.regexp_extract(t, pattern, year)) == 4) | (y > 0))
-        return F.when(fits, F.concat_ws("-", *([_year(F.regexp_extract(t, pattern, year)), two(m)] + ([two(d)] if day else []))))
+    def by_name(parts: Column) -> Column:
+        day, name, year = (F.get(parts, F.lit(i)) for i in range(3))
+        month = two(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))))
+        return F.concat_ws("-", _year(year), month, F.when(day.try_cast("int").between(1, 31), two(day.try_cast("int"))))
 
     named = rf"(?i)\b(?:(\d{{1,2}})\s+)?({'|'.join(MONTHS[:8])}|sept?|{'|'.join(MONTHS[9:])})[a-z]*\s*(?:[/.-]|\s+)?(\d{{2,4}})\b"
-    day = F.regexp_extract(t, named, 1).try_cast("int")
-    month = two(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(F.regexp_extract(t, named, 2), 1, 3))))
-    by_name = F.when(t.rlike(named), F.concat_ws("-", _year(F.regexp_extract(t, named, 3)), month, F.when(day.between(1, 31), two(day))))
-    s = r"\s*[/.-]\s*"
-    return F.when(has(t, DURATION), F.lower(t)).otherwise(
-        F.coalesce(
-            numbers(rf"^(\d{{1,2}}){s}(\d{{1,2}}){s}(\d{{4}}|\d{{2}})$", 3, 2, 1),
-            numbers(rf"^(\d{{1,2}}){s}(\d{{4}}|\d{{2}})$", 2, 1),
-            numbers(rf"^(\d{{4}}){s}(\d{{1,2}}){s}(\d{{1,2}})$", 1, 2, 3),
-            by_name,
-        )
-    )
+    numbers = once(F.split(F.regexp_replace(t, r"\D+", "/"), "/"), number)
+    names = once(F.split(F.regexp_replace(t, rf"^(?s:.*?)(?:{named})(?s:.*)$", "$1/$2/$3"), "/"), by_name)
+    return F.coalesce(numbers, F.when(t.rlike(named), names))
 
 
 def date_tokens(text: Column) -> Column:
@@ -66,11 +78,15 @@ def date_tokens(text: Column) -> Column:
     A line that states only a rate has none, nor one of a telephone that names no date; a number before a rate's unit is none.
     """
     t = F.coalesce(text, F.lit(""))
-    rate = (has(t, RATE_UNIT) | has(t, PRICED)) & has(t, ONLY_RATE)
+    rate = has(t, ONLY_RATE) & (has(t, RATE_UNIT) | has(t, PRICED))
     call = has(t, TELEPHONE) & ~has(t, DATED)
-    durations = spans(t, "(?i)" + DURATION)
-    inside = lambda s: F.exists(durations, lambda d: (d["start"] <= s["start"]) & (s["stop"] <= d["stop"]))
-    dates = F.filter(spans(t, CALENDAR), lambda s: ~has(F.substring(t, s["stop"] + 1, F.lit(6)), "^" + RATE_UNIT) & ~inside(s))
-    full = lambda found, lasts: F.transform(found, lambda s: F.struct(F.trim(s["text"]).alias("text"), s["start"].alias("start"), s["stop"].alias("stop"), value(s["text"]).alias("value"), F.lit(lasts).alias("is_duration")))
-    all_ = F.concat(full(durations, True), full(dates, False))
-    return F.when(rate | call, F.slice(all_, 1, 0)).otherwise(all_)
+    full = lambda found, to_value, lasts: F.transform(found, lambda s: F.struct(F.trim(s["text"]).alias("text"), s["start"].alias("start"), s["stop"].alias("stop"), to_value(s["text"]).alias("value"), F.lit(lasts).alias("is_duration")))
+    dates = F.filter(spans(t, CALENDAR), lambda s: ~has(F.substring(t, s["stop"] + 1, F.lit(6)), "^" + RATE_UNIT))
+
+    def with_dates(durations: Column) -> Column:
+        inside = lambda s: F.exists(durations, lambda d: (d["start"] <= s["start"]) & (s["stop"] <= d["stop"]))
+        return F.concat(full(durations, value, True), full(F.filter(dates, lambda s: ~inside(s)), date_value, False))
+
+    # most lines have no duration; in others an array of one, so that durations are looked for once
+    with_durations = F.flatten(F.transform(F.array(spans(t, "(?i)" + DURATION)), with_dates))
+    return F.when(rate | call, F.array().cast(TOKENS)).when(has(t, DURATION), with_durations).otherwise(full(dates, date_value, False))

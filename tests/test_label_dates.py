@@ -40,6 +40,13 @@ def test_date_tokens(spark):
     assert all(r["t"][x["start"] : x["stop"]].strip() == x["text"] for r in rows for x in r["d"])
 
 
+def test_date_tokens_keep_compiled_patterns_and_take_a_date_apart_once(spark):
+    lines = spark.createDataFrame([("🙂 é 12 days on 3-4-2026\n1/99",)], "t string").select(date_tokens(F.col("t")).alias("d"))
+    assert [(x["start"], x["stop"], x["value"], x["is_duration"]) for x in lines.first()["d"]] == [(4, 11, "12 days", True), (15, 23, "2026-04-03", False)]
+    plan = spark.range(1).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("t")).select(date_tokens(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(" in plan and "regexp_extract(" not in plan and plan.count("split(") == plan.count(", /, -1)")
+
+
 def every_assignment(affinity, labels, dates):
     """All one-to-one assignments with their scores, best first, by the rules in words: pairs under 0.2 are none."""
     m, n = affinity.shape
