@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -71,6 +72,30 @@ def test_words_of_some_parts_ago_are_not_encoded_again():
     assert np.frombuffer(t.ids(some), "<u4").tolist() == t.tokenizer.encode(some, add_special_tokens=False).ids
 
 
+def test_remembered_words_take_little_memory():
+    t, letters = tokens.SegmentTokenizer(tokenizer_path()), "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("x" + "".join(letters[n // 26**k % 26] for k in range(4)) for n in range(a, a + 20_000)) for a in (0, 20_000, 40_000)]
+    t.ids(texts[0])
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        for text in texts[1:]:
+            t.ids(text)
+        assert (tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow) / 40_000 < 60
+    finally:
+        tracemalloc.stop()
+
+
+def test_remembered_words_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 300)
+    monkeypatch.setattr(tokens, "FEW", 10, raising=False)
+    t, r = tokens.SegmentTokenizer(tokenizer_path()), random.Random(8)
+    some = ["".join(r.choices("abcdefgé1,.\n", k=r.randint(1, 7))) for _ in range(900)] + ["long" * 12]
+    for k in range(60):
+        text = " ".join(r.choices(some[k * 10 :], k=r.choice([3, 200])))
+        assert np.frombuffer(t.ids(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_cut_lengths():
     for n in range(1, 9000, 7):
         cut = packing.cut_lengths(n, 2048)
