@@ -89,4 +89,5 @@ def date_tokens(text: Column) -> Column:
 
     # most lines have no duration; in others an array of one, so that durations are looked for once
     with_durations = F.flatten(F.transform(F.array(spans(t, "(?i)" + DURATION)), with_dates))
-    return F.when(rate | call, F.array().cast(TOKENS)).when(has(t, DURATION), with_durations).otherwise(full(dates, date_value, False))
+    # and every date and duration a digit
+    return F.when(~t.rlike(r"\d") | rate | call, F.array().cast(TOKENS)).when(has(t, DURATION), with_durations).otherwise(full(dates, date_value, False))

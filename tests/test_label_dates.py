@@ -145,3 +145,32 @@ def test_lines_read_once_keep_equal_dates(spark):
 def test_sums_in_another_order_are_equal():
     # 0.3 and 0.1 + 0.2 differ in their last bit: the first date counts
     assert label_dates.best_assignment(np.array([[0.3, 0.1 + 0.2]]), np.zeros((1, 2)), np.zeros((2, 2))) == ([0], 0.3, 0.3)
+
+
+@pytest.mark.parametrize(("m", "n"), [(1, 0), (1, 1), (1, 5), (2, 0), (2, 1), (2, 2), (2, 4), (2, 7)])
+def test_many_images_at_once_get_the_assignments_that_each_gets(m, n):
+    r = np.random.default_rng(m * 10 + n)
+    affinity, labels, dates = np.round(r.random((200, m, n)), 2), r.integers(0, 300, (200, m, 2)).astype(float), r.integers(0, 300, (200, n, 2)).astype(float)
+    affinity[r.random(affinity.shape) < 0.1] = np.nan
+    choice, score, rival = label_dates.best_assignments(affinity, labels, dates)
+    each = [label_dates.best_assignment(*one) for one in zip(affinity, labels, dates)]
+    assert choice.tolist() == [e[0] for e in each] and score.tolist() == [e[1] for e in each] and rival.tolist() == [e[2] for e in each]
+
+
+def test_a_column_of_images_of_every_size(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(300):
+        m, n = r.randint(0, 3), r.randint(0, 4)
+        rows.append((i, [round(r.random(), 2) if r.random() < 0.9 else None for _ in range(m * n)], *([float(r.randrange(300)) for _ in range(2 * k)] for k in (m, n)), m, n))
+    found = spark.createDataFrame(rows, "i int, a array<double>, l array<double>, d array<double>, m int, n int").repartition(3).select("*", label_dates.matched(F.col("a"), F.col("l"), F.col("d")).alias("r")).collect()
+    assert len(found) == 300
+    for x in found:
+        choice, score, rival = label_dates.best_assignment(np.array(x["a"], float).reshape(x["m"], x["n"]), np.array(x["l"]).reshape(-1, 2), np.array(x["d"]).reshape(-1, 2))
+        assert (x["r"]["choice"], x["r"]["score"], x["r"]["next"]) == (choice, score if np.isfinite(score) else None, rival if np.isfinite(rival) else None)
+
+
+def test_assignments_are_made_once_and_lines_read_once(spark):
+    plan = label_dates.associate(lines(spark, [(1, 1, "EXP", 0, 0, 40, 10, 0.9)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    assert not any("RLIKE" in x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter"))
