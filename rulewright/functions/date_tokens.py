@@ -36,23 +36,29 @@ def _year(digits: Column) -> Column:
     return F.lpad(F.when(n < 50, n + 2000).when(n < 100, n + 1900).otherwise(n).cast("string"), 4, "0")
 
 
+def _two(number: Column) -> Column:
+    return F.lpad(number.cast("string"), 2, "0")
+
+
 def value(token: Column) -> Column:
     """YYYY-MM-DD or YYYY-MM of a date; a duration in lower case; null for what is neither, has no such month or day, or a year of 00 after a month only."""
     return F.when(has(F.trim(token), DURATION), F.lower(F.trim(token))).otherwise(date_value(token))
 
 
-def date_value(token: Column) -> Column:
-    """value() of what has no duration in it, as no match of CALENDAR has."""
+def _once(c: Column, f) -> Column:
+    """f(c) by an array of one, so that c is made once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def number_value(token: Column) -> Column:
+    """date_value() of what has no letters."""
     t = F.trim(token)
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    # an array of one, so that a token is taken apart once
-    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
 
     def number(parts: Column) -> Column:
         def ordered(pattern: str, year: int, month: int, day: int | None = None) -> Column:
             y, m, d = (F.get(parts, F.lit(i)).try_cast("int") if i is not None else None for i in (year, month, day))
             fits = t.rlike(pattern) & m.between(1, 12) & (d.between(1, 31) if day is not None else (F.length(F.get(parts, F.lit(year))) == 4) | (y > 0))
-            return F.when(fits, F.concat_ws("-", *([_year(F.get(parts, F.lit(year))), two(m)] + ([two(d)] if day is not None else []))))
+            return F.when(fits, F.concat_ws("-", *([_year(F.get(parts, F.lit(year))), _two(m)] + ([_two(d)] if day is not None else []))))
 
         s = r"\s*[/.-]\s*"
         return F.coalesce(
@@ -61,15 +67,21 @@ def date_value(token: Column) -> Column:
             ordered(rf"^\d{{4}}{s}\d{{1,2}}{s}\d{{1,2}}$", 0, 1, 2),
         )
 
+    return _once(F.split(F.regexp_replace(t, r"\D+", "/"), "/"), number)
+
+
+def date_value(token: Column) -> Column:
+    """value() of what has no duration in it, as no match of CALENDAR has."""
+    t = F.trim(token)
+
     def by_name(parts: Column) -> Column:
         day, name, year = (F.get(parts, F.lit(i)) for i in range(3))
-        month = two(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))))
-        return F.concat_ws("-", _year(year), month, F.when(day.try_cast("int").between(1, 31), two(day.try_cast("int"))))
+        month = _two(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3))))
+        return F.concat_ws("-", _year(year), month, F.when(day.try_cast("int").between(1, 31), _two(day.try_cast("int"))))
 
     named = rf"(?i)\b(?:(\d{{1,2}})\s+)?({'|'.join(MONTHS[:8])}|sept?|{'|'.join(MONTHS[9:])})[a-z]*\s*(?:[/.-]|\s+)?(\d{{2,4}})\b"
-    numbers = once(F.split(F.regexp_replace(t, r"\D+", "/"), "/"), number)
-    names = once(F.split(F.regexp_replace(t, rf"^(?s:.*?)(?:{named})(?s:.*)$", "$1/$2/$3"), "/"), by_name)
-    return F.coalesce(numbers, F.when(t.rlike(named), names))
+    names = _once(F.split(F.regexp_replace(t, rf"^(?s:.*?)(?:{named})(?s:.*)$", "$1/$2/$3"), "/"), by_name)
+    return F.coalesce(number_value(token), F.when(t.rlike(named), names))
 
 
 def date_tokens(text: Column) -> Column:
@@ -81,13 +93,18 @@ def date_tokens(text: Column) -> Column:
     rate = has(t, ONLY_RATE) & (has(t, RATE_UNIT) | has(t, PRICED))
     call = has(t, TELEPHONE) & ~has(t, DATED)
     full = lambda found, to_value, lasts: F.transform(found, lambda s: F.struct(F.trim(s["text"]).alias("text"), s["start"].alias("start"), s["stop"].alias("stop"), to_value(s["text"]).alias("value"), F.lit(lasts).alias("is_duration")))
-    dates = F.filter(spans(t, CALENDAR), lambda s: ~has(F.substring(t, s["stop"] + 1, F.lit(6)), "^" + RATE_UNIT))
 
-    def with_dates(durations: Column) -> Column:
-        inside = lambda s: F.exists(durations, lambda d: (d["start"] <= s["start"]) & (s["stop"] <= d["stop"]))
-        return F.concat(full(durations, value, True), full(F.filter(dates, lambda s: ~inside(s)), date_value, False))
+    def placed(found: Column) -> Column:
+        dates = F.filter(found, lambda s: ~has(F.substring(t, s["stop"] + 1, F.lit(6)), "^" + RATE_UNIT))
+
+        def with_dates(durations: Column) -> Column:
+            inside = lambda s: F.exists(durations, lambda d: (d["start"] <= s["start"]) & (s["stop"] <= d["stop"]))
+            return F.concat(full(durations, value, True), full(F.filter(dates, lambda s: ~inside(s)), date_value, False))
+
+        # most lines have no duration; in others durations are looked for once
+        with_durations = _once(spans(t, "(?i)" + DURATION), with_dates)
+        # rates, telephones, durations and names of months have letters
+        return F.when(~t.rlike("[a-zA-Z]"), full(found, number_value, False)).when(rate | call, F.array().cast(TOKENS)).when(has(t, DURATION), with_durations).otherwise(full(dates, date_value, False))
 
-    # most lines have no duration; in others an array of one, so that durations are looked for once
-    with_durations = F.flatten(F.transform(F.array(spans(t, "(?i)" + DURATION)), with_dates))
-    # and every date and duration a digit
-    return F.when(~t.rlike(r"\d") | rate | call, F.array().cast(TOKENS)).when(has(t, DURATION), with_durations).otherwise(full(dates, date_value, False))
+    # dates and durations have a digit
+    return F.when(t.rlike(r"\d"), _once(spans(t, CALENDAR), placed)).otherwise(F.array().cast(TOKENS))

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions.date_tokens import date_tokens
+from rulewright.functions.text import spans
 from rulewright.operators import label_dates
+from rulewright.plans import labels as plans
 
 TOKENS = [
     ("TOLL FREE: 1800-10-22-221", []),
@@ -174,3 +176,22 @@ def test_assignments_are_made_once_and_lines_read_once(spark):
     plan = label_dates.associate(lines(spark, [(1, 1, "EXP", 0, 0, 40, 10, 0.9)]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Join" not in plan
     assert not any("RLIKE" in x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter"))
+
+
+def test_affinities_make_an_image_s_arrays_once(spark):
+    plan = plans.queries()["label_date_affinity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # explode() would have filters ask for the size of what it takes apart, and make it for that
+    assert not any("lambdafunction" in x for x in plan if x.lstrip(" :+-").startswith("Filter"))
+
+
+def test_a_match_of_the_whole_text_is_found_by_one_scan(spark):
+    texts = ["12", "12 3", " 12", "x", "", None, "🙂1", "4\n5"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(spans(F.col("t"), r"\d+").alias("s")).collect()
+    assert [None if r["s"] is None else [tuple(x) for x in r["s"]] for r in got] == [[("12", 0, 2)], [("12", 0, 2), ("3", 3, 4)], [("12", 1, 3)], [], [], None, [("1", 1, 2)], [("4", 0, 1), ("5", 2, 3)]]
+
+
+def test_a_maker_s_line_leaves_the_next_pattern(spark):
+    rows = [(1, 1, "MFD DATE by ACME, PKD 05/26", 0, 0, 300, 10, 0.9), (1, 2, "EXP", 0, 20, 40, 10, 0.9), (2, 1, "mfg at Goa", 0, 0, 99, 10, 0.9), (3, 1, "no label 05/26", 0, 0, 99, 10, 0.9)]
+    line = F.struct("line_id", "text", "x", "y", "w", "h", "confidence")
+    got = lines(spark, rows).select("image_id", line.alias("line")).select("image_id", F.transform(label_dates.line_labels(F.col("line")), lambda x: F.concat_ws("@", x["kind"], x["text"])).alias("k")).collect()
+    assert [(r["image_id"], r["k"]) for r in got] == [(1, ["MFG_DATE@MFD DATE"]), (1, ["EXP@EXP"]), (2, []), (3, [])]
